@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, simhash, substring
+from . import licences, lines, packing, quality, simhash, substring
 from .common import table
 
 
@@ -33,6 +33,19 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.col("q_base_failed").alias("base_failed"), F.col("q_kept").alias("kept"), F.col("q_rule").alias("rule"))
 
 
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licences.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"), out_col="found")
+    best = F.array_max(F.transform("found", lambda m: m["dice"]))
+    names = F.filter("found", lambda m: m["dice"] == F.col("best"))
+    out = out.withColumn("best", best).withColumn("licence", F.array_min(F.transform(names, lambda m: m["licence"])))
+    return out.select("doc_id", F.size("found").cast("long").alias("n_matches"), "licence", F.round("best", 6).alias("dice"))
+
+
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.coalesce(F.size("ld_dropped"), F.lit(0)).alias("n_dropped"), F.sha2(F.coalesce("ld_text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = substring.deduplicated(docs, window=50)
@@ -44,4 +57,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_licences": licences.sql()}
