@@ -31,17 +31,19 @@ class Wavelet:
             one = (s >> b) & 1
             self.levels.append(Bits(one.astype(np.uint8)))
             s = np.concatenate([s[one == 0], s[one == 1]])
+        symbols = np.arange(1 << bits, dtype=np.int64)
+        self.start = self._down(symbols, np.zeros(len(symbols), dtype=np.int64))
+
+    def _down(self, c: np.ndarray, at: np.ndarray) -> np.ndarray:
+        for k, level in enumerate(self.levels):
+            ones = level.ones(at)
+            at = np.where((c >> (self.bits - 1 - k)) & 1, level.zeros + ones, at - ones)
+        return at
 
     def rank(self, c: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How often c is found in [0, i), and in [0, j)."""
-        start = np.zeros_like(i)
-        for k, level in enumerate(self.levels):
-            one = ((c >> (self.bits - 1 - k)) & 1).astype(bool)
-            si, ii, jj = level.ones(start), level.ones(i), level.ones(j)
-            start = np.where(one, level.zeros + si, start - si)
-            i = np.where(one, level.zeros + ii, i - ii)
-            j = np.where(one, level.zeros + jj, j - jj)
-        return i - start, j - start
+        at = self._down(np.concatenate([c, c]), np.concatenate([i, j])) - np.tile(self.start[c], 2)
+        return at[: len(c)], at[len(c) :]
 
 
 class Least:
@@ -83,7 +85,7 @@ class FMIndex:
                 break
             key = rank * (n + 1)
             key[: n - step] += rank[step:] + 1
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             new = np.empty(n, dtype=np.int64)
             new[order] = np.cumsum(np.r_[0, np.diff(key[order]) != 0])
             rank, step = new, step * 2
