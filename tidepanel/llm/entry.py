@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licences, lines, packing, quality, simhash, substring
+from . import forest, licences, lines, neural, packing, pieces, quality, simhash, substring, wrappers
 from .common import table
 
 
+def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pieces.encoded(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), n=3)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.to_json("ids"), 256).alias("ids_sha256"), "scores", "restored")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"), distance=2, width=3)
 
@@ -33,6 +38,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.col("q_base_failed").alias("base_failed"), F.col("q_kept").alias("kept"), F.col("q_rule").alias("rule"))
 
 
+def op5_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licences.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"), out_col="found")
     best = F.array_max(F.transform("found", lambda m: m["dice"]))
@@ -41,6 +50,14 @@ def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("found").cast("long").alias("n_matches"), "licence", F.round("best", 6).alias("dice"))
 
 
+def op7_neural(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neural.scored(table(spark, sf_dir, "documents"))
+
+
+def op8_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.neighbours(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.coalesce(F.size("ld_dropped"), F.lit(0)).alias("n_dropped"), F.sha2(F.coalesce("ld_text", F.lit("")), 256).alias("kept_sha256"))
