@@ -42,7 +42,8 @@ def status_months(status: Column) -> Column:
 
 
 def status_bucket(status: Column, top: int = 4, owned: str = "RA") -> Column:
-    return F.when(status == owned, top).otherwise(F.least(status_months(status), F.lit(top)))
+    months = status_months(status)
+    return F.when(status == owned, top).when(months.isNotNull(), F.least(months, F.lit(top)))
 
 
 def status_owned(status: Column, owned: str = "RA") -> Column:
