@@ -72,6 +72,7 @@ def resolve(spark: SparkSession, template: str, vintages: Sequence[int]) -> list
 def read_text(spark: SparkSession, paths: Sequence[str] | str, fields: Sequence[Field], sep: str = "|") -> DataFrame:
     """Headerless rows as text, with the raw text of rows of the wrong width and the file they came from."""
     src = spark.read.schema(text_schema(fields)).option("sep", sep).option("quote", "").option("mode", "PERMISSIVE")
+    src = src.option("columnPruning", "false")  # else rows of the wrong width are only seen if all columns are asked for
     return src.option("columnNameOfCorruptRecord", CORRUPT).csv(paths).withColumn("source_file", F.col("_metadata.file_path"))
 
 
