@@ -15,7 +15,7 @@ def every_segmentation(m, word):
     if not word:
         return [(0.0, ())]
     out = []
-    for a, s, ids in m.edges(word)[len(word)]:
+    for a, s, ids in m.lattice(word)[0][len(word)]:
         out += [(s + t, own + ids) for t, own in every_segmentation(m, word[:a])]
     return out
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +43,11 @@ class Pieces:
                 self.score[p] = (float(sp.get_score(i)), i)
         self.raw = {i: bytes([b]) for b, i in self.byte.items()}
         self.unknown = sp.unk_id()
-        self.longest = max(map(len, self.score))
+        #: the longest piece that starts with these two characters
+        self.reach: dict[str, int] = {}
+        for p in self.score:
+            if len(p) > 1:
+                self.reach[p[:2]] = max(self.reach.get(p[:2], 0), len(p))
         # a character of no piece: below all pieces but those that the model marks as never to be merged into
         self.lost = min((s for s, _ in self.score.values() if s > -1e8), default=0.0) - 10.0
         self.n = n
@@ -51,28 +56,33 @@ class Pieces:
         if bad:
             raise ValueError(f"pieces run over word starts: {bad[:5]}")
 
-    def edges(self, word: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each end, the edges (start, score, ids) that reach it."""
-        out: list[list] = [[] for _ in range(len(word) + 1)]
-        for a in range(len(word)):
-            for b in range(a + 1, min(len(word), a + self.longest) + 1):
-                if found := self.score.get(word[a:b]):
-                    out[b].append((a, found[0], (found[1],)))
+    def lattice(self, word: str) -> tuple[list[list[tuple[int, float, tuple[int, ...]]]], list[float]]:
+        """For each end, the edges (start, score, ids) that reach it and, by forward Viterbi, the best score up to it."""
+        size, known, reach = len(word), self.score.get, self.reach.get
+        edges: list[list] = [[] for _ in range(size + 1)]
+        ahead = [0.0] + [float("-inf")] * size
+        for a in range(size):
+            so_far = ahead[a]
+            for b in range(a + 1, min(size, a + reach(word[a : a + 2], 1)) + 1):
+                if found := known(word[a:b]):
+                    s = found[0]
+                    edges[b].append((a, s, (found[1],)))
+                    if so_far + s > ahead[b]:
+                        ahead[b] = so_far + s
             if word[a] not in self.score:
                 ids = tuple(self.byte.get(x, self.unknown) for x in word[a].encode("utf-8", "surrogatepass"))
-                out[a + 1].append((a, self.lost, ids if self.byte else (self.unknown,)))
-        return out
+                edges[a + 1].append((a, self.lost, ids if self.byte else (self.unknown,)))
+                ahead[a + 1] = max(ahead[a + 1], so_far + self.lost)
+        return edges, ahead
 
     def best(self, word: str, n: int | None = None) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations, best first."""
-        n, edges, size = n or self.n, self.edges(word), len(word)
-        ahead = [0.0] + [float("-inf")] * size  # forward Viterbi
-        for b in range(1, size + 1):
-            ahead[b] = max((ahead[a] + s for a, s, _ in edges[b]), default=float("-inf"))
+        n, size = n or self.n, len(word)
+        edges, ahead = self.lattice(word)
         # equal costs go on from the smallest position, so ties don't widen the search; then the newest first
-        heap, out, turn = [(-ahead[size], size, 0, 0.0, None)], [], 0
-        while heap and len(out) < n:
-            _, at, _, done, path = heapq.heappop(heap)
+        open_, out, turn = [(-ahead[size], size, 0, 0.0, None)], [], 0
+        while open_ and len(out) < n:
+            _, at, _, done, path = open_.pop(0)
             if at == 0:
                 ids = []
                 while path is not None:
@@ -80,9 +90,17 @@ class Pieces:
                     path = path[1]
                 out.append((done, tuple(ids)))
                 continue
+            # heuristics are exact, so each open path ends in a segmentation of its own of just that score: one that
+            # has n - len(out) open paths before it is never needed
+            room = n - len(out)
             for a, s, own in edges[at]:
+                cost = -(ahead[a] + s + done)
+                if len(open_) >= room:
+                    if cost > open_[room - 1][0]:
+                        continue
+                    del open_[room:]
                 turn += 1
-                heapq.heappush(heap, (-(ahead[a] + s + done), a, -turn, s + done, (own, path)))
+                insort(open_, (cost, a, -turn, s + done, (own, path)))
         return out
 
     def words(self, text: str) -> list[str]:
