@@ -8,12 +8,16 @@ choice costs least. Known words are looked up.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
 import zlib
 from bisect import insort
 from collections.abc import Iterator
+from itertools import chain
+from operator import itemgetter
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import batch, map_batches
 
 SPACE = "▁"
-MOST_KNOWN = 400_000
+MOST_KNOWN = 800_000
 _WORD = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
 
@@ -43,88 +47,129 @@ class Pieces:
                 self.score[p] = (float(sp.get_score(i)), i)
         self.raw = {i: bytes([b]) for b, i in self.byte.items()}
         self.unknown = sp.unk_id()
-        #: the longest piece that starts with these two characters
-        self.reach: dict[str, int] = {}
-        for p in self.score:
-            if len(p) > 1:
-                self.reach[p[:2]] = max(self.reach.get(p[:2], 0), len(p))
+        self.single = frozenset(p for p in self.score if len(p) == 1)
+        #: finds the pieces of a word by their ends
+        self.automaton = ahocorasick.Automaton()
+        for p, (s, i) in self.score.items():
+            self.automaton.add_word(p, (len(p), s, (i,)))
+        self.automaton.make_automaton()
         # a character of no piece: below all pieces but those that the model marks as never to be merged into
         self.lost = min((s for s, _ in self.score.values() if s > -1e8), default=0.0) - 10.0
         self.n = n
-        self.known: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
+        self.known: dict[str, tuple[tuple[int, ...], float, float]] = {}
         bad = [p for p in self.score if SPACE in p.lstrip(SPACE) or ("\n" in p and len(p) > 1)]
         if bad:
             raise ValueError(f"pieces run over word starts: {bad[:5]}")
 
     def lattice(self, word: str) -> tuple[list[list[tuple[int, float, tuple[int, ...]]]], list[float]]:
-        """For each end, the edges (start, score, ids) that reach it and, by forward Viterbi, the best score up to it."""
-        size, known, reach = len(word), self.score.get, self.reach.get
+        """For each end, the edges (start, score, ids) that reach it; and the best score up to each end."""
+        edges, ahead = self._costed(word)
+        return [[e[1:] for e in x] for x in edges], ahead
+
+    def _costed(self, word: str) -> tuple[list[list[tuple[float, int, float, tuple[int, ...]]]], list[float]]:
+        """For each end, the edges (cost, start, score, ids) that reach it and, by forward Viterbi, the best score up to
+        it; an edge's cost is the negative best score up to its end through it."""
+        size = len(word)
         edges: list[list] = [[] for _ in range(size + 1)]
         ahead = [0.0] + [float("-inf")] * size
-        for a in range(size):
-            so_far = ahead[a]
-            for b in range(a + 1, min(size, a + reach(word[a : a + 2], 1)) + 1):
-                if found := known(word[a:b]):
-                    s = found[0]
-                    edges[b].append((a, s, (found[1],)))
-                    if so_far + s > ahead[b]:
-                        ahead[b] = so_far + s
-            if word[a] not in self.score:
-                ids = tuple(self.byte.get(x, self.unknown) for x in word[a].encode("utf-8", "surrogatepass"))
-                edges[a + 1].append((a, self.lost, ids if self.byte else (self.unknown,)))
-                ahead[a + 1] = max(ahead[a + 1], so_far + self.lost)
+        found = self.automaton.iter(word)
+        if not self.single.issuperset(word):
+            # characters without a piece: an edge of their own, in the order of the ends
+            lost = []
+            for k, c in enumerate(word):
+                if c not in self.single:
+                    ids = tuple(self.byte.get(x, self.unknown) for x in c.encode("utf-8", "surrogatepass"))
+                    lost.append((k, (1, self.lost, ids if self.byte else (self.unknown,))))
+            found = sorted([*found, *lost], key=itemgetter(0))
+        for last, (length, s, own) in found:
+            end = last + 1
+            start = end - length
+            so_far = ahead[start] + s
+            edges[end].append((-so_far, start, s, own))
+            if so_far > ahead[end]:
+                ahead[end] = so_far
         return edges, ahead
 
     def best(self, word: str, n: int | None = None) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations, best first."""
         n, size = n or self.n, len(word)
-        edges, ahead = self.lattice(word)
-        # equal costs go on from the smallest position, so ties don't widen the search; then the newest first
+        edges, ahead = self._costed(word)
+        # heuristics are exact: each open path ends in a segmentation of its own of just that score. So the cheapest one
+        # goes straight on to the start by its cheapest edges (ties: the smallest position), and of the edges it leaves
+        # aside no more stay open than there are segmentations still asked for
         open_, out, turn = [(-ahead[size], size, 0, 0.0, None)], [], 0
-        while open_ and len(out) < n:
+        while open_:
             _, at, _, done, path = open_.pop(0)
-            if at == 0:
-                ids = []
-                while path is not None:
-                    ids += path[0]
-                    path = path[1]
-                out.append((done, tuple(ids)))
-                continue
-            # heuristics are exact, so each open path ends in a segmentation of its own of just that score: one that
-            # has n - len(out) open paths before it is never needed
-            room = n - len(out)
-            for a, s, own in edges[at]:
-                cost = -(ahead[a] + s + done)
-                if len(open_) >= room:
-                    if cost > open_[room - 1][0]:
-                        continue
-                    del open_[room:]
-                turn += 1
-                insort(open_, (cost, a, -turn, s + done, (own, path)))
+            room = n - len(out) - 1
+            while at:
+                here = edges[at]
+                if len(here) > 1:
+                    here.sort()
+                    for through, a, t, other in here[1 : room + 1]:
+                        cost = through - done
+                        if len(open_) >= room:
+                            if cost > open_[-1][0]:
+                                break
+                            del open_[room:]
+                        turn += 1
+                        insort(open_, (cost, a, -turn, t + done, (other, path)))
+                _, at, s, own = here[0]
+                done += s
+                path = (own, path)
+            ids: list[int] = []
+            while path is not None:
+                ids += path[0]
+                path = path[1]
+            out.append((done, tuple(ids)))
+            if not room:
+                break
+            del open_[room:]
         return out
 
     def words(self, text: str) -> list[str]:
         return _WORD.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
-    def _of(self, word: str) -> list[tuple[float, tuple[int, ...]]]:
-        got = self.known.get(word)
-        if got is None:
-            got = self.best(word)
-            if len(self.known) < MOST_KNOWN:
-                self.known[word] = got
+    def first(self, word: str) -> tuple[tuple[int, ...], float, float]:
+        """Ids and score of the best segmentation, and what the second costs more (infinite if there is none): the same
+        search, cut off when its first path ends. The cheapest open path's cost is then that of the second."""
+        edges, _ = self._costed(word)
+        at, done, gap, path = len(word), 0.0, float("inf"), []
+        while at:
+            here = edges[at]
+            if len(here) > 1:
+                here.sort()
+                if (more := here[1][0] - here[0][0]) < gap:
+                    gap = more
+            _, at, s, own = here[0]
+            done += s
+            path.append(own)
+        path.reverse()
+        return tuple(chain.from_iterable(path)), done, gap
+
+    def _of(self, word: str) -> tuple[tuple[int, ...], float, float]:
+        got = self.first(word)
+        if len(self.known) < MOST_KNOWN:
+            self.known[word] = got
         return got
 
     def encode(self, text: str | None) -> tuple[list[int], list[float]]:
         """Ids of the best segmentation, and the scores of the n best. Null and empty texts have one, empty, score 0."""
-        lists = [self._of(w) for w in self.words(text or "")]
-        ids = [i for x in lists for i in x[0][1]]
-        best = sum(x[0][0] for x in lists)
+        get, of = self.known.get, self._of
+        words = self.words(text or "")
+        lists = [get(w) or of(w) for w in words]
+        ids = list(chain.from_iterable([x[0] for x in lists]))
+        best = sum([x[1] for x in lists])
         # a text's n best change at most n - 1 words, and only those whose change costs least
-        cheap = heapq.nsmallest(self.n - 1, ((x[0][0] - x[1][0], k) for k, x in enumerate(lists) if len(x) > 1))
+        gaps = [x[2] for x in lists]
         costs = [0.0]
-        for _, k in cheap:
-            first = lists[k][0][0]
-            costs = heapq.nsmallest(self.n, (c + first - s for c in costs for s, _ in lists[k]))
+        for _ in range(min(self.n - 1, len(gaps))):
+            least = min(gaps)
+            if least == float("inf"):
+                break
+            k = gaps.index(least)
+            gaps[k] = float("inf")
+            scores = [s for s, _ in self.best(words[k])]
+            costs = heapq.nsmallest(self.n, (c + scores[0] - s for c in costs for s in scores))
         return ids, [best - c for c in costs]
 
     def decode(self, ids: list[int]) -> str:
@@ -156,9 +201,14 @@ def encoded(docs: DataFrame, path: str, n: int = 3, id_col: str = "doc_id", text
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part, rows = b.slice(at, 256), []
-                for row, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids, scores = m.encode(t)
-                    rows.append((row, np.array(ids, dtype=np.int32), scores, m.decode(ids) == (t or "")))
+                # nothing here makes cycles, and the known words are many to walk over again and again
+                gc.disable()
+                try:
+                    for row, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                        ids, scores = m.encode(t)
+                        rows.append((row, np.array(ids, dtype=np.int32), scores, m.decode(ids) == (t or "")))
+                finally:
+                    gc.enable()
                 yield batch(schema, *(zip(*rows, strict=True) if rows else [[]] * 4))
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
