@@ -117,3 +117,28 @@ def test_line_dedup(spark):
     got = Counter((r.doc_id, r.ld_text) for r in out.collect())
     assert got == want
     assert lines.deduplicated(frame(spark, [])).count() == 0
+
+
+def test_near_lines_far_apart_in_words_are_found(spark):
+    """Against edit similarity alone, without a gate: changed letters in lines of any length."""
+    rng = np.random.default_rng(11)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    norms = set()
+    for n in [*range(3, 9)] * 4 + [12, 20, 40, 70] * 4:
+        base = " ".join("".join(rng.choice(letters, rng.integers(4, 9))) for _ in range(n))
+        norms.add(base)
+        for _ in range(2):
+            t = list(base)
+            for _ in range(max(1, len(t) // 25)):
+                t[rng.choice([k for k, c in enumerate(t) if c != " "])] = str(rng.choice(letters))
+            norms.add("".join(t))
+    norms = sorted(norms)
+    linked = [(a, b) for a in range(len(norms)) for b in range(a) if abs(len(norms[a]) - len(norms[b])) <= 0.2 * max(len(norms[a]), len(norms[b])) and levenshtein(norms[a], norms[b]) <= int(0.2 * max(len(norms[a]), len(norms[b])) + 1e-9)]
+    group = dict(zip(norms, brute.classes(list(range(len(norms))), linked)))
+    docs = list(enumerate(norms))
+    kept = {r.doc_id for r in lines.deduplicated(frame(spark, docs), bands=lines.BANDS).collect() if r.ld_text}
+    first = {min(i for i, t in docs if group[t] == g) for g in set(group.values())}
+    missed = kept - first
+    assert len(linked) > 80 and first <= kept
+    assert len(missed) <= 0.03 * len(linked)
+    assert len({r.doc_id for r in lines.deduplicated(frame(spark, docs)).collect() if r.ld_text} - first) > 10 + len(missed)  # by SimHashes alone

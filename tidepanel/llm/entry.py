@@ -59,7 +59,7 @@ def op8_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), bands=lines.BANDS)
     return out.select("doc_id", F.coalesce(F.size("ld_dropped"), F.lit(0)).alias("n_dropped"), F.sha2(F.coalesce("ld_text", F.lit("")), 256).alias("kept_sha256"))
 
 
