@@ -138,3 +138,11 @@ def test_alignment_infers_repeats_optionals_and_slots():
     ul, p = w[wrappers.CHILDREN]
     assert ul[wrappers.CHILDREN][0][wrappers.REPEATED] and ul[wrappers.CHILDREN][0][wrappers.TEXT] == 0
     assert p[wrappers.OPTIONAL] and p[wrappers.TEXT] == "x"
+
+
+def test_network_learns_from_every_training_document(spark):
+    docs = [(i, "red green blue black " * 30) for i in range(300)]
+    out = neural.scored(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), sample=0).collect()
+    assert len(out) == len(docs)
+    gain = [(r.score - r.base_score) / r.n_tokens for r in out if r.held_out]
+    assert gain and min(gain) > 0.1  # no document is in the sample, so only the pass over all can teach the order

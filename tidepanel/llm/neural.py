@@ -3,13 +3,15 @@
 Words fall in classes: frequent words in classes of about equal mass, each a softmax of its own over the state; all
 other words in one last class, whose words take their share of the corpus counts, (c + 0.5) / (N' + 0.5 (V' + 1)), one
 unseen word included. So every text has a proper probability. Counts come from all training documents by one shuffle;
-the network is fitted on a bounded sample of them, by truncated backpropagation. Scoring runs many documents in
+the network begins on a small sample of them; then every partition trains it on all its own training documents, by
+truncated backpropagation, and the networks are averaged by their tokens. Scoring runs many documents in
 lock-step and carries each state over windows until its document ends.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import deepcopy
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,11 +22,13 @@ from pyspark.sql import functions as F
 
 from .common import batch, map_batches, written
 
-#: Documents the network is fitted on (smallest XXH64 of the id), and tokens of them at most.
+#: Documents the network begins on (smallest XXH64 of the id), and tokens of them at most. All are trained on later.
 SAMPLE_DOCS, SAMPLE_TOKENS = 600, 150_000
 #: Words whose counts go to every worker, words with an output of their own, classes of those.
 HEAD, OUTPUTS, CLASSES = 50_000, 2_000, 40
 STATE, WINDOW, STREAMS, EPOCHS = 24, 32, 32, 3
+#: Streams of the pass over all documents (fewer where a batch has under 64 windows of each), and steps of a whole that averaged parameters are counted in.
+MOST_STREAMS, STEPS = 256, 1 << 20
 END = ""
 
 
@@ -107,7 +111,7 @@ class Network:
         """Truncated backpropagation over windows of parallel streams, Adam."""
         end = self.end
         n = len(ids) // streams
-        if n < 2:
+        if n < 1:
             return
         text = ids[: n * streams].reshape(streams, n)
         m = {k: np.zeros_like(x) for k, x in self.p.items()}
@@ -197,6 +201,42 @@ def held_out(c: Column) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
 
+def _trained(network: Network):
+    """Over lists of tokens: the parameters after training on all of them, times their number, in STEPS."""
+    schema = pa.schema([("at", pa.int64()), ("value", pa.int64()), ("n", pa.int64())])
+    index = {w: k for k, w in enumerate(network.v.words)}
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, n, left = deepcopy(network), 0, np.zeros(0, dtype=np.int64)
+        for b in batches:
+            coded = b.column(0).flatten().dictionary_encode()
+            known = np.array([index.get(w, len(index)) for w in coded.dictionary.to_pylist()], dtype=np.int64)
+            ids = np.r_[left, known[coded.indices.to_numpy()]] if len(coded) else left
+            streams = max(1, min(MOST_STREAMS, len(ids) // (64 * WINDOW)))
+            cut = len(ids) // streams * streams
+            own.fit(ids[:cut], epochs=1, streams=streams)
+            n, left = n + cut, ids[cut:]
+        own.fit(left, epochs=1, streams=1)
+        n += len(left)
+        if n:
+            flat = np.concatenate([x.ravel() for x in own.p.values()]).astype(np.float64)
+            yield batch(schema, np.arange(len(flat)), np.rint(flat * STEPS).astype(np.int64) * n, np.full(len(flat), n))
+
+    return work
+
+
+def fit_all(network: Network, texts: DataFrame) -> None:
+    """Trains `network` on every row of `texts` (lists of tokens): one pass in each partition, then the average."""
+    got = map_batches(texts, texts.columns, "at long, value long, n long", _trained(network))
+    # whole numbers, so that the order of the sums is no matter; as many rows as parameters come to the driver
+    rows = got.groupBy("at").agg(F.sum(F.col("value").cast("decimal(38,0)")).alias("value"), F.sum("n").alias("n")).orderBy("at").collect()
+    if rows:
+        flat, at = np.array([int(r.value) / r.n / STEPS for r in rows], dtype=np.float32), 0
+        for k, x in network.p.items():
+            network.p[k] = flat[at : at + x.size].reshape(x.shape).astype(x.dtype)
+            at += x.size
+
+
 def _scored(network: Network, head: dict[str, float]):
     schema = pa.schema([("rid", pa.int64()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("head_log", pa.float64()), ("log_p", pa.float64()), ("n_rest", pa.int64()), ("tail", pa.list_(pa.string())), ("rest_log", pa.float64())])
     index = {w: k for k, w in enumerate(network.v.words)}
@@ -254,6 +294,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head
         if len(ids) > SAMPLE_TOKENS:
             break
     network.fit(np.array(ids[:SAMPLE_TOKENS], dtype=np.int64))
+    fit_all(network, train.select(tokens(F.col("text")).alias("t")))
     logs = {r.token: float(np.log10(r.c + 0.5)) for r in top}
     marked = src.select(F.monotonically_increasing_id().alias("rid"), "id", "held", "text")
     # ids and texts in one pass, so that row numbers belong together
