@@ -146,3 +146,17 @@ def test_network_learns_from_every_training_document(spark):
     assert len(out) == len(docs)
     gain = [(r.score - r.base_score) / r.n_tokens for r in out if r.held_out]
     assert gain and min(gain) > 0.1  # no document is in the sample, so only the pass over all can teach the order
+
+
+def test_every_page_of_a_host_shapes_its_wrapper(spark):
+    """A layout of one page in sixty, whose text is beside the path of the others."""
+    def page(i):
+        if i % 60 == 59:
+            return f"<div id=x><p>Short {i}.</p></div><div id=y><p>{'Other layout text. ' * 100} {i}</p></div>"
+        return f"<div id=x><p>Words of page {i} that vary {i * 7}.</p></div>"
+
+    rows = [(i, "https://one.example/", page(i)) for i in range(240)]
+    out = {r.page_id: r.text for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert len(out) == 240
+    assert all("Other layout text." in out[i] and f"Short {i}." in out[i] for i in range(59, 240, 60))
+    assert all(f"Words of page {i} " in out[i] for i in range(240) if i % 60 != 59)

@@ -2,7 +2,8 @@
 
 A page is read as a stream of tags and texts and nested leniently. Two pages' streams are aligned element by element;
 what only one has becomes optional, runs of like elements become one repeated group, and texts that differ become
-slots. A few pages of each host are aligned one after another into its wrapper, whose nodes then say what to keep: the
+slots. All pages of a host are aligned into its wrapper, first those of a partition one after another, then what the
+partitions have; its nodes then say what to keep: the
 article (or, without one, the node that holds most of the varying text and few links), without what its tags, classes
 and roles mark as other matter. Every page of the host is walked along the wrapper; an element that the wrapper
 hasn't seen is judged by its own marks, so no page is dropped.
@@ -18,12 +19,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import batch, map_batches, written
 
-#: Pages of a host that its wrapper is inferred from (smallest XXH64 of the page id), and salts of the join by host.
-SAMPLE, SALTS = 12, 32
+#: Salts of the join by host, and hosts whose wrappers a partition holds at once.
+SALTS, OPEN = 32, 256
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|textarea|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S | re.I)
 _MARK = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -232,10 +232,32 @@ def _has_main(node: Node) -> bool:
 
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Wrappers of the hosts in (host, page) rows; a host has one for each time that OPEN hosts were held."""
     schema = pa.schema([("host", pa.string()), ("wrapper", pa.string())])
+    held: dict[str, list] = {}
     for b in batches:
-        rows = [(h, json.dumps(infer(p))) for h, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-        yield batch(schema, *(zip(*rows, strict=True) if rows else [[], []]))
+        for host, page in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            w = pattern(parsed(page.as_py()))
+            held[host] = aligned(held[host], w) if host in held else w
+            if len(held) > OPEN:
+                yield batch(schema, list(held), [json.dumps(x) for x in held.values()])
+                held = {}
+    if held:
+        yield batch(schema, list(held), [json.dumps(x) for x in held.values()])
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The wrapper of each host from the sorted ones of its runs."""
+    schema = pa.schema([("host", pa.string()), ("wrapper", pa.string())])
+    for b in batches:
+        out = []
+        for parts in b.column(1):
+            found = [json.loads(p.as_py()) for p in parts.values]
+            whole = found[0]
+            for w in found[1:]:
+                whole = aligned(whole, w)
+            out.append(json.dumps(whole))
+        yield batch(schema, b.column(0), out)
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,14 +274,14 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(schema, b.column(0), b.column(1), texts, [len(t) for t in texts])
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample: int = SAMPLE) -> DataFrame:
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars) of every page. Null and empty pages have empty text; pages without a host share one
     wrapper; repeated rows come back each. A host's pages are spread over salts, so a large host isn't one task's."""
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     src = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
-    some = src.where("html IS NOT NULL AND html <> ''").withColumn("r", F.row_number().over(Window.partitionBy("host").orderBy(F.xxhash64("id"), "id", F.xxhash64("html")))).where(F.col("r") <= sample)
-    wrappers = some.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "html"))), lambda x: x["html"]).alias("pages"))
-    wrappers = written(map_batches(wrappers, ["host", "pages"], "host string, wrapper string", _learn))
+    parts = map_batches(src.where("html IS NOT NULL AND html <> ''"), ["host", "html"], "host string, wrapper string", _learn)
+    parts = written(parts).groupBy("host").agg(F.array_sort(F.collect_list("wrapper")).alias("wrappers"))
+    wrappers = written(map_batches(parts, ["host", "wrappers"], "host string, wrapper string", _merged))
     salted = wrappers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     mine = src.withColumn("salt", F.pmod(F.xxhash64("id", "html"), F.lit(SALTS)).cast("int"))
     out = map_batches(mine.join(salted, ["host", "salt"], "left"), ["id", "url", "html", "wrapper"], "id long, url string, text string, n_chars long", _apply)
