@@ -1,8 +1,10 @@
+import os
 from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidepanel.llm import packing, quality
 from tidepanel.llm.entry import tokenizer_path
@@ -47,8 +49,25 @@ def test_judged(spark):
         assert r.q_base_failed == (r.q_n_words < 50 or 100 * r.q_n_repeat_words > 50 * r.q_n_words)
         assert not (r.q_base_failed and r.q_kept)
     assert quality.judged(frame(spark, []), spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
-    with pytest.raises(ValueError):
-        quality.with_statistics(frame(spark, docs).withColumnRenamed("row", "Q_n_words"))
+    clash = frame(spark, docs).withColumnRenamed("row", "Q_n_words").withColumn("q_kept", F.lit("own"))
+    found = quality.judged(clash, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert [c.lower() for c in found.columns].count("q_n_words") == 1 and found.where("q_kept").count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_rules_come_from_rows_that_the_base_rule_passes(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    out = quality.judged(docs, labels).join(labels, "doc_id").where("NOT q_base_failed").toPandas()
+    assert quality.learn(docs, labels).rules
+    assert (out.q_kept == (out.quality == 1)).mean() > 0.98 and (out.quality == 0).sum() >= 20
+
+
+def test_an_imprecise_rule_does_not_end_the_search():
+    rng = np.random.default_rng(1)
+    x = pd.DataFrame({f: rng.random(1200) for f in quality.FEATURES})
+    bad = (x.words > 0.5) & (rng.random(1200) < 0.6) | (x.digit_share > 0.9)  # the first part is never precise
+    rules = quality.fit(x, bad.to_numpy())
+    assert any(t.feature == "digit_share" for r in rules.rules for t in r)
 
 
 def test_best_fit_and_bounds():

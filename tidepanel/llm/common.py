@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -19,14 +20,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_prefix(docs: DataFrame, prefix: str) -> str:
+    """`prefix`, with underscores in front until no column of `docs` begins with it (in any case)."""
+    while any(c.lower().startswith(prefix.lower()) for c in docs.columns):
+        prefix = f"_{prefix}"
+    return prefix
+
+
+def without(docs: DataFrame, names: Sequence[str]) -> DataFrame:
+    """`docs` without columns of these names, in any case: what an operator returns takes their place."""
+    taken = {n.lower() for n in names}
+    return docs.drop(*(c for c in docs.columns if c.lower() in taken))
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or a local one where that is unset."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`, or, where that is unset, what
+    setCheckpointDir was given. A local session without either gets a folder of its own; a cluster has to name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        context = spark.sparkContext
+        current = context._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = current.get() if current.isDefined() else f"file://{tempfile.mkdtemp(prefix='tidepanel-')}"
         if not current.isDefined():
-            spark.sparkContext.setCheckpointDir(folder)
+            context.setCheckpointDir(folder)
     return folder
 
 

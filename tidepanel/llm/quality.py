@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, map_batches
+from .common import batch, map_batches, without
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_digits")
 SYMBOLS, SPACES, MARKS = b"#*$%&|<>", b" \t\n\x0b\x0c\r", b"!?"
@@ -78,10 +78,9 @@ def repeated_words(words: list[bytes], width: int = 3) -> int:
 
 
 def with_statistics(docs: DataFrame, text_col: str = "text", prefix: str = "q_") -> DataFrame:
-    """`docs` with the columns `prefix` + COUNTS after its own; rows and their order are unchanged."""
-    taken = {x.lower() for x in docs.columns}
-    if clash := [c for c in COUNTS if (prefix + c).lower() in taken]:
-        raise ValueError(f"columns {clash} exist with prefix {prefix!r}; pass another prefix")
+    """`docs` with the columns `prefix` + COUNTS after its own; rows and their order are unchanged. Columns of `docs`
+    that have these names are replaced."""
+    docs = without(docs, [prefix + c for c in COUNTS])
     at = docs.columns.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,27 +182,36 @@ def _cover(rule: list[Test], x: pd.DataFrame) -> np.ndarray:
 def fit(x: pd.DataFrame, bad: np.ndarray, precision: float = 0.97, support: int = 5, most_rules: int = 12, most_tests: int = 4, cuts: int = 24) -> DecisionList:
     """Sequential covering of the rows marked `bad`.
 
-    A rule stays if at least `support` bad rows of the pruning third are covered with at least `precision`. Row order
+    A rule stays if at least `support` bad rows of the pruning third are covered with at least `precision`. The rows
+    of a rule that does not stay are only no longer looked for, so that the search goes on with the others. Row order
     decides the split (every third row prunes). No rows, or one class only: no rule, so everything is kept.
     """
     bad = np.asarray(bad, dtype=bool)
     prune = np.arange(len(x)) % 3 == 2
     gx, gb, px, pb = x[~prune].reset_index(drop=True), bad[~prune], x[prune].reset_index(drop=True), bad[prune]
     rules: list[tuple[Test, ...]] = []
-    while len(rules) < most_rules and gb.sum() >= support and pb.any():
-        rule = _grow(gx, gb, most_tests, cuts)
+    wanted = gb.copy()  # bad rows that no tried rule covers
+    for _ in range(4 * most_rules):
+        if len(rules) == most_rules or wanted.sum() < support or not pb.any():
+            break
+        use = wanted | ~gb
+        rule = _grow(gx[use].reset_index(drop=True), gb[use], most_tests, cuts)
+        if not rule:
+            break
         worth = lambda r: (c := _cover(r, px), ((pb & c).sum() - (~pb & c).sum()) / max(1, c.sum()))[1]
-        while len(rule) > 1 and (options := [rule[:k] + rule[k + 1 :] for k in range(len(rule))]):
-            shorter = max(options, key=worth)
+        while len(rule) > 1:
+            shorter = max((rule[:k] + rule[k + 1 :] for k in range(len(rule))), key=worth)
             if worth(shorter) < worth(rule):
                 break
             rule = shorter
-        hit = _cover(rule, px) if rule else np.zeros(len(px), dtype=bool)
-        if not rule or (pb & hit).sum() < support or (pb & hit).sum() < precision * hit.sum():
+        covered, hit = _cover(rule, gx), _cover(rule, px)
+        if not (covered & wanted).any():
             break
+        if (pb & hit).sum() < support or (pb & hit).sum() < precision * hit.sum():
+            wanted &= ~covered
+            continue
         rules.append(tuple(rule))
-        stay = ~_cover(rule, gx)
-        gx, gb = gx[stay].reset_index(drop=True), gb[stay]
+        gx, gb, wanted = gx[~covered].reset_index(drop=True), gb[~covered], wanted[~covered]
         px, pb = px[~hit].reset_index(drop=True), pb[~hit]
     return DecisionList(tuple(rules))
 
@@ -212,8 +220,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The list for `docs` from `labels` (id, quality; 0 is to reject).
 
     Fits on at most `most` labelled ids, those with the smallest XXH64, which is also the bound of what is broadcast
-    and sent to the driver (nine counts each). Null ids and null labels take no part; of repeated labels the lowest
-    counts, of repeated documents each row.
+    and sent to the driver (nine counts each). Rows that the base rule rejects take no part, since the list never judges
+    them. Null ids and null labels take no part; of repeated labels the lowest counts, of repeated documents each row.
     """
     picked = (
         labels.where(f"{id_col} IS NOT NULL AND quality IS NOT NULL")
@@ -222,7 +230,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     )
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     mine = src.join(F.broadcast(picked), src.id == picked.q_id).select("id", "q_label", "text")
-    rows = with_statistics(mine).drop("text").orderBy(F.xxhash64("id"), "id", *(f"q_{c}" for c in COUNTS)).limit(most).toPandas()
+    rows = with_statistics(mine).where(~base_failed("q_")).drop("text").orderBy(F.xxhash64("id"), "id", *(f"q_{c}" for c in COUNTS)).limit(most).toPandas()
     return fit(feature_frame(rows, "q_"), (rows["q_label"] == 0).to_numpy(), **options)
 
 
@@ -236,9 +244,10 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """`docs` with its statistics, `prefix` + base_failed, rule and kept. One pass over the texts, no shuffle.
 
     Every row comes back once, repeated rows too. Null and empty texts have zero counts and so fail the base rule.
+    Columns of `docs` that have the names of new ones are replaced.
     """
     rules = learn(docs, labels, id_col, text_col)
-    out = with_statistics(docs, text_col, prefix)
+    out = without(with_statistics(docs, text_col, prefix), [f"{prefix}{c}" for c in ("base_failed", "rule", "kept")])
     return out.withColumns({f"{prefix}base_failed": base_failed(prefix), f"{prefix}rule": rules.rule_number(prefix)}).withColumn(
         f"{prefix}kept", ~F.col(f"{prefix}base_failed") & (F.col(f"{prefix}rule") == 0)
     )
