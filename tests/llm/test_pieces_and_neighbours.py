@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tidepanel.llm import forest, neural, pieces, wrappers
 from tidepanel.llm.entry import tokenizer_path
@@ -109,9 +110,64 @@ def test_network_gives_probabilities():
     h = np.random.default_rng(0).standard_normal((3, neural.STATE)).astype(np.float32)
     total = sum(np.exp(net.log_probs(h, np.full(3, w))) for w in range(5))
     assert np.allclose(total, 1, atol=1e-5)
-    assert np.allclose(net.score([np.array([0, 1, 2]), np.array([3, 2])]), [net.score([np.array([0, 1, 2])])[0], net.score([np.array([3, 2])])[0]])
-    long = np.tile([0, 1], 100)
-    assert abs(net.score([long], window=7)[0] - net.score([long], window=200)[0]) < 1e-3
+    texts = [np.array([0, 1, 2]), np.array([3, 2]), np.tile([0, 1], 100), np.array([2])]
+    got = net.score(np.concatenate(texts), np.array([len(t) for t in texts]), most_states=7)
+    assert np.allclose(got, [plain_score(net, t) for t in texts], atol=1e-3)
+
+
+def plain_score(net, text):
+    """Step by step, with whole tables, in double precision."""
+    p, v, d = {k: x.astype(np.float64) for k, x in net.p.items()}, net.v, net.d
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    h, before, total = np.zeros(d), net.end, 0.0
+    for y in text:
+        a = p["x"][before] + p["b"]
+        z, r = sig(a[:d] + h @ p["u"][:, :d]), sig(a[d : 2 * d] + h @ p["u"][:, d : 2 * d])
+        h = (1 - z) * h + z * np.tanh(a[2 * d :] + (r * h) @ p["u"][:, 2 * d :])
+        e = np.exp(h @ p["c"] + p["cb"])
+        c = v.class_of[y]
+        total += math.log10(e[c] / e.sum())
+        if c < v.classes:
+            e = np.exp(h @ p["w"][v.members[c]].T + p["wb"][v.members[c]])
+            total += math.log10(e[v.place[y]] / e.sum())
+        before = y
+    return total
+
+
+def test_gradients_are_those_of_the_likelihood():
+    v = neural.Vocabulary([*"abcdefg", ""], np.array([9.0, 8, 7, 5, 3, 2, 1, 4]))
+    net = neural.Network(v, state=3)
+    net.p = {k: x.astype(np.float64) for k, x in net.p.items()}
+    rng = np.random.default_rng(0)
+    text = rng.integers(0, 9, (7, 4))
+    text[3, 1] = text[2, 0] = net.end
+    x, y, h = text[:-1], text[1:], rng.standard_normal((4, 3))
+
+    def loss():
+        state, total = h, 0.0
+        for t in range(len(x)):
+            state = net.step(x[t], state * (x[t] != net.end)[:, None])
+            total -= net.log_probs(state, y[t]).sum()
+        return total
+
+    g, _ = net.gradients(x, y, h)
+    for k, values in net.p.items():
+        for at in rng.integers(0, values.size, 12):
+            old = values.flat[at]
+            values.flat[at] = old + 1e-5
+            up = loss()
+            values.flat[at] = old - 1e-5
+            down = loss()
+            values.flat[at] = old
+            assert abs((up - down) / 2e-5 - g[k].flat[at]) < 1e-5 * max(1, abs(g[k].flat[at])), k
+
+
+def test_scores_stay_with_their_documents(spark):
+    docs = [(i, f"word{i % 7} " * (i + 1)) for i in range(200)] + [(900, "long " * 50_000), (901, None), (902, " \n "), (3, "again")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("held", F.lit(1)).withColumn("rid", F.lit("x"))
+    for dealt in (df.repartition(7), df.repartition(3, "text"), df.coalesce(1)):
+        got = neural.scored(dealt).collect()
+        assert Counter((r.doc_id, r.n_tokens) for r in got) == Counter((i, len((t or "").split()) + 1) for i, t in docs)
 
 
 def page(title, paragraphs, extra="", ad="buy now"):
