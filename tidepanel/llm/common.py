@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches that go to Python workers hold about this many bytes, however long single texts are.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 12 << 20
+#: Spark's setting that removes a query's shuffle files once it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,10 +51,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """`df` written as Parquet below the shared folder and read again: cuts lineage, survives lost executors."""
+    """`df` written as Parquet below the shared folder and read again: cuts lineage, survives lost executors. Shuffle
+    files of the job are of no more use then, and go."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tidepanel/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -27,12 +27,12 @@ from .common import batch, map_batches, written
 #: Documents the network begins on (smallest XXH64 of the id), and tokens of them at most. All are trained on later.
 SAMPLE_DOCS, SAMPLE_TOKENS = 600, 150_000
 #: Words whose counts go to every worker, words with an output of their own, classes of those.
-HEAD, OUTPUTS, CLASSES = 200_000, 2_000, 40
+HEAD, OUTPUTS, CLASSES = 150_000, 2_000, 40
 STATE, WINDOW, STREAMS, EPOCHS = 24, 32, 32, 3
 #: Streams of the pass over all documents (fewer where a batch has under 64 windows of each), and steps of a whole that averaged parameters are counted in.
 MOST_STREAMS, STEPS = 256, 1 << 20
 #: Distinct words that a task counts before it hands them on, and states that wait for their outputs.
-MOST_HELD, MOST_STATES = 500_000, 16_384
+MOST_HELD, MOST_STATES = 200_000, 16_384
 END = ""
 
 
@@ -62,6 +62,11 @@ def _log_softmax(z):
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
+def _softmax(z):
+    z = np.exp(z - z.max(axis=1, keepdims=True))
+    return z / z.sum(axis=1, keepdims=True)
+
+
 class Network:
     """GRU over word inputs; the last input and class stand for all words without an output."""
 
@@ -101,7 +106,7 @@ class Network:
     def _grad_out(self, h, y, g):
         """Sets gradients of the outputs; returns the gradient of the state."""
         p, cls, n = self.p, self.v.class_of[y], len(y)
-        e = np.exp(_log_softmax(h @ p["c"] + p["cb"]))
+        e = _softmax(h @ p["c"] + p["cb"])
         e[np.arange(n), cls] -= 1
         g["c"] = h.T @ e
         g["cb"] = e.sum(axis=0)
@@ -112,7 +117,7 @@ class Network:
             if not len(own):
                 continue
             hs, w = h[own], p["w"][m]
-            q = np.exp(_log_softmax(hs @ w.T + p["wb"][m]))
+            q = _softmax(hs @ w.T + p["wb"][m])
             q[np.arange(len(own)), self.v.place[y[own]]] -= 1
             g["w"][m] = q.T @ hs
             g["wb"][m] = q.sum(axis=0)
