@@ -216,3 +216,45 @@ def test_every_page_of_a_host_shapes_its_wrapper(spark):
     assert len(out) == 240
     assert all("Other layout text." in out[i] and f"Short {i}." in out[i] for i in range(59, 240, 60))
     assert all(f"Words of page {i} " in out[i] for i in range(240) if i % 60 != 59)
+
+
+def covered(node, w):
+    """Whether the wrapper has every element of the page, at its place in the nesting."""
+    for p in node.parts:
+        if isinstance(p, wrappers.Node):
+            known = next((c for c in w[wrappers.CHILDREN] if c[:2] == [p.tag, p.marks]), None)
+            if known is None or not covered(p, known):
+                return False
+    return True
+
+
+def test_the_wrapper_decides():
+    """What is the same on a host's pages goes, marked article or not; another wrapper gives another text."""
+    def one(i, mark):
+        own = "".join(f"<p>Words {i} {k} of this page and no other.</p>" for k in range(i % 3 + 1))
+        return f"<html><body><div class=top><p>Same top</p></div><{mark}><h1>Title {i}</h1><div class=x><p>Buy our magazine</p></div>{own}<dl><dt>a{i}</dt><dd>b{i}</dd><dt>c{i}</dt><dd>d{i}</dd></dl></{mark}></body></html>"
+
+    for mark in ("article", "div"):
+        pages = [one(i, mark) for i in range(7)]
+        w = wrappers.infer(pages)
+        assert all(covered(wrappers.parsed(p), w) for p in pages)
+        for i, p in enumerate(pages):
+            own = [f"Words {i} {k} of this page and no other." for k in range(i % 3 + 1)]
+            assert wrappers.extract(p, w) == "\n".join([f"Title {i}", *own, f"a{i}", f"b{i}", f"c{i}", f"d{i}"])
+            assert "Buy our magazine" in wrappers.extract(p, wrappers.infer(["<article>x</article>"]))
+    alike = ["<article><p>All pages say this.</p></article>"] * 9
+    assert wrappers.extract(alike[0], wrappers.infer(alike)) == "All pages say this."
+
+
+def test_groups_of_more_elements_repeat():
+    w = wrappers.infer(["<dl>" + "<dt>a</dt><dd>b</dd>" * 5 + "</dl>", "<dl><dt>x</dt><dd>y</dd></dl>"])
+    dl = w[wrappers.CHILDREN][0]
+    assert [(c[wrappers.TAG], c[wrappers.REPEATED]) for c in dl[wrappers.CHILDREN]] == [("dt", True), ("dd", True)]
+
+
+def test_deep_and_wide_pages():
+    deep = "<div>" * 5000 + "in the depths" + "</div>" * 5000
+    wide = "".join(f"<p>p{k}</p><ul><li>l{k}</li></ul>" for k in range(3000))
+    w = wrappers.infer([deep, wide, deep])
+    assert wrappers.extract(deep) == "in the depths"
+    assert wrappers.extract(wide, w).count("\n") == 5999

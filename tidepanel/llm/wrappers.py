@@ -2,11 +2,14 @@
 
 A page is read as a stream of tags and texts and nested leniently. Two pages' streams are aligned element by element;
 what only one has becomes optional, runs of like elements become one repeated group, and texts that differ become
-slots. All pages of a host are aligned into its wrapper, first those of a partition one after another, then what the
-partitions have; its nodes then say what to keep: the
-article (or, without one, the node that holds most of the varying text and few links), without what its tags, classes
-and roles mark as other matter. Every page of the host is walked along the wrapper; an element that the wrapper
-hasn't seen is judged by its own marks, so no page is dropped.
+slots; a sequence of elements that comes again, such as (dt dd), is a repeated group as well. All pages of a host are
+aligned into its wrapper, first those of a partition one after another, then what the partitions have.
+
+The wrapper says what to keep: the node below which most of the varying, unlinked text is, and in it the slots. What
+is the same on all pages that have it, and on FIXED pages at least, is the host's own matter and goes. Tags, classes and
+roles only help: what they mark as other matter doesn't count as text, and the way down ends at a marked article. Every
+page of the host is walked along the wrapper; an element that the wrapper hasn't seen is judged by its own marks, so no
+page is dropped.
 """
 
 from __future__ import annotations
@@ -24,6 +27,9 @@ from .common import batch, map_batches, written
 
 #: Salts of the join by host, and hosts whose wrappers a partition holds at once.
 SALTS, OPEN = 32, 256
+#: Pages that a block must be the same on to be the host's, elements that a repeated group has at most, and the depth
+#: below which elements become neighbours (their text stays).
+FIXED, GROUP, DEPTH = 4, 4, 150
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|textarea|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S | re.I)
 _MARK = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -75,58 +81,69 @@ def parsed(page: str) -> Node:
         words = sorted({w for a in _MARK.finditer(m[4] or "") for w in re.findall(r"[a-z]+", (a[2] or a[3] or a[4] or "").lower())}) if m[4] else []
         node = Node(tag, " ".join(words))
         stack[-1].parts.append(node)
-        if tag not in _VOID and not (m[4] or "").endswith("/"):
+        if tag not in _VOID and not (m[4] or "").endswith("/") and len(stack) < DEPTH:
             stack.append(node)
     return root
 
 
-# --- wrappers: [tag, marks, optional, repeated, text (None: none, str: constant, 0: slot), size, linked, children] ---
+# --- wrappers: [tag, marks, optional, repeated, text (None: none, str: constant, 0: slot), size, linked, children, pages] ---
 
-TAG, MARKS, OPTIONAL, REPEATED, TEXT, SIZE, LINKED, CHILDREN = range(8)
+TAG, MARKS, OPTIONAL, REPEATED, TEXT, SIZE, LINKED, CHILDREN, PAGES = range(9)
 
 
 def pattern(node: Node, linked: bool = False) -> list:
-    """A page's own wrapper: like neighbours are folded into one repeated group."""
+    """A page's own wrapper: neighbours that come again are folded into one repeated group."""
     text = _SPACE.sub(" ", "".join(p for p in node.parts if isinstance(p, str))).strip()
     linked = linked or node.tag == "a"
-    out = [node.tag, node.marks, False, False, text or None, len(text), len(text) if linked else 0, []]
-    for child in node.parts:
-        if isinstance(child, Node):
-            p = pattern(child, linked)
-            last = out[CHILDREN][-1] if out[CHILDREN] else None
-            if last and last[:2] == p[:2]:
-                out[CHILDREN][-1] = aligned(last, p)
-                out[CHILDREN][-1][REPEATED] = True
-            else:
-                out[CHILDREN].append(p)
+    children = folded([pattern(child, linked) for child in node.parts if isinstance(child, Node)])
+    return [node.tag, node.marks, False, False, text or None, len(text), len(text) if linked else 0, children, 1]
+
+
+def folded(parts: list[list]) -> list[list]:
+    """Each run of like sequences of up to GROUP elements as one, marked as repeated. A run's pages count once."""
+    out: list[list] = []
+    for p in parts:
+        out.append(p)
+        for k in range(1, GROUP + 1):
+            if len(out) >= 2 * k and all(out[-k + i][:2] == out[-2 * k + i][:2] for i in range(k)):
+                for i in range(k):
+                    a, b = out[-2 * k + i], out[-k + i]
+                    both = aligned(a, b)
+                    both[REPEATED], both[PAGES] = True, max(a[PAGES], b[PAGES])
+                    out[-2 * k + i] = both
+                del out[-k:]
+                break
     return out
 
 
 def aligned(a: list, b: list) -> list:
     """The least wrapper of both: unequal texts become a slot, children without a match optional."""
     text = a[TEXT] if a[TEXT] == b[TEXT] else 0
-    x, y = a[CHILDREN], b[CHILDREN]
+    x, y, n = a[CHILDREN], b[CHILDREN], 0
+    out = []
+    while n < min(len(x), len(y)) and x[n][:2] == y[n][:2]:  # most pages of a host begin alike
+        out.append(aligned(x[n], y[n]))
+        n += 1
+    x, y = x[n:], y[n:]
     # longest common subsequence by tag and marks
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i in range(len(x) - 1, -1, -1):
         for j in range(len(y) - 1, -1, -1):
             best[i][j] = best[i + 1][j + 1] + 1 if x[i][:2] == y[j][:2] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
+    i = j = 0
     while i < len(x) or j < len(y):
         if i < len(x) and j < len(y) and x[i][:2] == y[j][:2]:
             out.append(aligned(x[i], y[j]))
             i, j = i + 1, j + 1
             continue
-        one = x[i] if j == len(y) or (i < len(x) and best[i + 1][j] >= best[i][j + 1]) else y[j]
-        i, j = (i + 1, j) if i < len(x) and one is x[i] else (i, j + 1)
-        one = [*one]
+        from_x = j == len(y) or (i < len(x) and best[i + 1][j] >= best[i][j + 1])
+        one = [*(x[i] if from_x else y[j])]
+        i, j = (i + 1, j) if from_x else (i, j + 1)
         one[OPTIONAL] = True
-        if out and out[-1][:2] == one[:2]:  # stays free of unions and of ambiguous neighbours
-            out[-1] = aligned(out[-1], one)
-            out[-1][REPEATED] = True
-        else:
-            out.append(one)
-    return [a[TAG], a[MARKS], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED], text, a[SIZE] + b[SIZE], a[LINKED] + b[LINKED], out]
+        out.append(one)
+    if i and j or len(out) > n:
+        out = folded(out)  # stays free of unions and of ambiguous neighbours
+    return [a[TAG], a[MARKS], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED], text, a[SIZE] + b[SIZE], a[LINKED] + b[LINKED], out, a[PAGES] + b[PAGES]]
 
 
 def infer(pages: list[str]) -> list:
@@ -155,22 +172,28 @@ def _mass(w: list) -> tuple[int, int]:
     return sum(o[0] for o in own), sum(o[1] for o in own)
 
 
-def chosen(w: list) -> list[int] | None:
-    """The path to what is kept: none if an article is marked, else the deepest node with most of the varying text."""
-    def marked(x):
-        return not _is_other(x[TAG], x[MARKS], False) and (_is_main(x[TAG], x[MARKS]) or any(marked(c) for c in x[CHILDREN]))
-
-    if marked(w):
-        return None
+def chosen(w: list) -> list[int]:
+    """The path to what is kept: down to the node with most of the varying unlinked text, or to a marked article on the way."""
     path, node = [], w
     total = _mass(w)[0]
-    while True:
+    while not (path and _is_main(node[TAG], node[MARKS])):
         masses = [_mass(c) for c in node[CHILDREN]]
-        k = max(range(len(masses)), key=lambda i: masses[i][0] - 2 * masses[i][1], default=None)
+        k = max(range(len(masses)), key=lambda i: (masses[i][0] - 2 * masses[i][1], _is_main(*node[CHILDREN][i][:2])), default=None)
         if k is None or masses[k][0] < 0.7 * total or masses[k][0] == 0 or node[CHILDREN][k][REPEATED]:
-            return path
+            break
         path.append(k)
         node = node[CHILDREN][k]
+    return path
+
+
+def _same(w: list) -> bool:
+    """Whether all text below is the same on each page that has it."""
+    return w[TEXT] != 0 and all(_same(c) for c in w[CHILDREN])
+
+
+def fixed(w: list) -> bool:
+    """Whether a block is the host's own matter: the same text on FIXED pages at least."""
+    return w[TAG] in _BLOCK and w[PAGES] >= FIXED and _same(w)
 
 
 def extract(page: str | None, wrapper: list | None = None) -> str:
@@ -180,7 +203,10 @@ def extract(page: str | None, wrapper: list | None = None) -> str:
     root = parsed(page)
     wrapper = wrapper if wrapper is not None else infer([page])
     path = chosen(wrapper)
-    has_main = path is None and _has_main(root)
+    node = wrapper
+    for k in path:
+        node = node[CHILDREN][k]
+    varies = _mass(node)[0] > 0  # else the host's pages are all alike, and nothing tells its own matter from theirs
     blocks, line = [], []
 
     def flush():
@@ -189,7 +215,8 @@ def extract(page: str | None, wrapper: list | None = None) -> str:
         if text:
             blocks.append(text)
 
-    def walk(node: Node, w: list | None, inside: bool, rest: list[int] | None):
+    def walk(node: Node, w: list | None, inside: bool, rest: list[int]):
+        """rest: what is left of the path; [-1] off it."""
         at = 0
         for p in node.parts:
             if isinstance(p, str):
@@ -203,32 +230,34 @@ def extract(page: str | None, wrapper: list | None = None) -> str:
                     if w[CHILDREN][k][:2] == [p.tag, p.marks]:
                         known, at = k, k
                         break
-            here = inside or (has_main and _is_main(p.tag, p.marks))
-            if not _is_other(p.tag, p.marks, here):
-                below = None if rest is None or inside else (rest[1:] if rest and known == rest[0] else [-1])
-                block = p.tag in _BLOCK
-                if block:
-                    flush()
-                elif p.tag == "br":
-                    line.append(" ")
-                walk(p, w[CHILDREN][known] if known is not None else None, here or below == [], below)
+            below = rest if inside else (rest[1:] if rest and known == rest[0] else [-1])
+            block = p.tag in _BLOCK
+            if _is_other(p.tag, p.marks, inside) or (inside and varies and known is not None and fixed(w[CHILDREN][known])):
                 if block:
                     flush()
-            elif p.tag in _BLOCK:
+                continue
+            if block:
+                flush()
+            elif p.tag == "br":
+                line.append(" ")
+            walk(p, w[CHILDREN][known] if known is not None else None, inside or below == [], below)
+            if block:
                 flush()
 
-    if path is None and not has_main:  # the host marks its articles, this page has none: all that isn't other matter
-        walk(root, wrapper, True, None)
-    else:
-        walk(root, wrapper, path == [], path)
-        if path and not blocks:  # the page doesn't follow the wrapper down the path
-            walk(root, wrapper, True, None)
+    walk(root, wrapper, not path, path)
+    if path and not blocks:  # the page doesn't follow the wrapper down the path
+        main = _marked(root)
+        walk(main or root, None, True, [])
     flush()
     return "\n".join(blocks)
 
 
-def _has_main(node: Node) -> bool:
-    return any(isinstance(p, Node) and not _is_other(p.tag, p.marks, False) and (_is_main(p.tag, p.marks) or _has_main(p)) for p in node.parts)
+def _marked(node: Node) -> Node | None:
+    """The first marked article of a page."""
+    for p in node.parts:
+        if isinstance(p, Node) and not _is_other(p.tag, p.marks, False) and (found := p if _is_main(p.tag, p.marks) else _marked(p)):
+            return found
+    return None
 
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
