@@ -74,7 +74,7 @@ def rows(spark, d) -> DataFrame:
     train = all_rows.where("split = 'train'")
     by = ["dq_bucket", "max_bucket_last_3"]
     prior = train.agg(F.round(F.sum(F.col("label").cast("long")) / F.count("label"), 6).alias("rate"))
-    return metrics.encoded(all_rows, metrics.target_rates(train, by), by, prior).withColumn("y", F.col("label"))
+    return metrics.encoded(all_rows, metrics.target_rates(train, by), by, prior).withColumns({"y": F.col("label"), "p_raw": F.col("dq_bucket") / 4})
 
 
 def later(spark, d) -> DataFrame:
@@ -122,11 +122,11 @@ FROM (SELECT concat('S',CAST(l_suppkey AS VARCHAR),'-',CAST(l_linenumber%3 AS VA
     "dis": "SELECT * FROM spl WHERE so=first_so",
     "prior": "SELECT sum(label) AS s0, count(label) AS n0, round(sum(label)/count(label),6) AS rate FROM dis WHERE split='train'",
     "rates": "SELECT d.dq_bucket AS rb, d.max_bucket_last_3 AS rm, round((sum(label)+100*any_value(p.s0)/any_value(p.n0))/(count(label)+100),6) AS rate FROM dis d, prior p WHERE split='train' GROUP BY 1,2",
-    "sc": """SELECT d.*, upb_cents AS exposure, label AS y, coalesce(r.rate,p.rate) AS p FROM dis d CROSS JOIN prior p LEFT JOIN rates r ON d.dq_bucket IS NOT DISTINCT FROM r.rb AND d.max_bucket_last_3 IS NOT DISTINCT FROM r.rm""",
+    "sc": """SELECT d.*, upb_cents AS exposure, label AS y, coalesce(r.rate,p.rate) AS p, dq_bucket/4 AS p_raw FROM dis d CROSS JOIN prior p LEFT JOIN rates r ON d.dq_bucket IS NOT DISTINCT FROM r.rb AND d.max_bucket_last_3 IS NOT DISTINCT FROM r.rm""",
     "late": "SELECT * FROM sc WHERE split IN ('validation','test')",
-    "money": "SELECT month_idx, loan_sequence_number, CASE WHEN label=1 THEN exposure ELSE 0 END AS money, dq_bucket, exposure, p FROM late",
-    "prio": """SELECT month_idx, loan_sequence_number, money, unnest(['random','by_dpd','by_balance','by_prob','by_expected_value']) AS policy,
-  unnest([CAST(0 AS DOUBLE), CAST(dq_bucket AS DOUBLE), CAST(exposure AS DOUBLE), p, p*exposure]) AS priority FROM money""",
+    "money": "SELECT month_idx, loan_sequence_number, CASE WHEN label=1 THEN exposure ELSE 0 END AS money, dq_bucket, exposure, p, p_raw FROM late",
+    "prio": """SELECT month_idx, loan_sequence_number, money, unnest(['random','by_dpd','by_balance','by_prob','by_expected_value','by_expected_value_raw']) AS policy,
+  unnest([CAST(0 AS DOUBLE), CAST(dq_bucket AS DOUBLE), CAST(exposure AS DOUBLE), p, p*exposure, p_raw*exposure]) AS priority FROM money""",
     "seeds": "SELECT unnest([0,1,2]) AS seed",
     "rank0": """SELECT month_idx, loan_sequence_number, money, policy, seed, row_number() OVER (PARTITION BY month_idx, policy, seed ORDER BY priority DESC, md5(concat_ws(':',CAST(seed AS VARCHAR),loan_sequence_number,CAST(month_idx AS VARCHAR))), loan_sequence_number) AS rank FROM prio, seeds""",
     "rankall": """SELECT * FROM rank0 UNION ALL SELECT month_idx, loan_sequence_number, money, 'oracle', seed, row_number() OVER (PARTITION BY month_idx, seed ORDER BY money DESC, loan_sequence_number) FROM money, seeds""",
@@ -140,18 +140,27 @@ FROM (SELECT concat('S',CAST(l_suppkey AS VARCHAR),'-',CAST(l_linenumber%3 AS VA
     "ref": "SELECT * FROM longf WHERE split='train'",
     "cuts": "SELECT feature, list_sort(list_distinct(quantile_cont(x,[0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]))) AS edges FROM ref GROUP BY 1",
     "lb": "SELECT l.*, CASE WHEN x IS NULL THEN -1 ELSE len(list_filter(edges, lambda e: e<=x)) END AS bin FROM longf l JOIN cuts USING (feature)",
+    "halves": "SELECT *, CASE WHEN (strpos('0123456789abcdef', substr(md5(concat_ws(':','0',loan_sequence_number,CAST(month_idx AS VARCHAR))),1,1))-1)%2=0 THEN 0 ELSE 1 END AS half FROM lb WHERE split='train'",
+    "acols": "SELECT feature, list_sort(list_distinct(quantile_cont(x,[0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]))) AS edges FROM along WHERE split='train' GROUP BY 1",
+    "along": "SELECT split, label, unnest(['dq_bucket','bucket_lag_1','months_delinquent_last_6','max_bucket_last_6','upb_change_pct_3','upb_cents','months_delinquent_last_3']) AS feature, unnest([dq_bucket::DOUBLE,bucket_lag_1::DOUBLE,months_delinquent_last_6::DOUBLE,max_bucket_last_6::DOUBLE,upb_change_pct_3::DOUBLE,upb_cents::DOUBLE,months_delinquent_last_3::DOUBLE]) AS x FROM dis",
+    "abin": "SELECT l.*, CASE WHEN x IS NULL THEN -1 ELSE len(list_filter(edges, lambda e: e<=x)) END AS bin FROM along l JOIN acols USING (feature)",
+    "aprior": "SELECT feature, sum(label)/count(*) AS prior FROM abin WHERE split='train' GROUP BY 1",
+    "arate": "SELECT b.feature, b.bin, round((sum(label)+100*any_value(prior))/(count(*)+100),6) AS rate FROM abin b JOIN aprior USING (feature) WHERE split='train' GROUP BY 1,2",
+    "asc1": "SELECT b.feature, b.split, b.label, coalesce(rate, round(prior,6)) AS r FROM abin b JOIN aprior USING (feature) LEFT JOIN arate a ON a.feature=b.feature AND a.bin=b.bin",
+    "wcuts": "SELECT list_distinct(quantile_cont(max_bucket_last_6::DOUBLE,[k/20.0 FOR k IN range(1,20)])) AS edges FROM dis WHERE split='train'",
+    "wbin": "SELECT CASE WHEN max_bucket_last_6 IS NULL THEN -1 ELSE len(list_filter(edges, lambda e: e<=max_bucket_last_6)) END AS bin, label FROM dis, wcuts WHERE split='train'",
     "cat": "SELECT feature, unnest(range(-1, len(edges)+1)) AS bin FROM cuts",
     "ex": "SELECT c.feature, c.bin, coalesce(n,0)/sum(coalesce(n,0)) OVER (PARTITION BY c.feature) AS e FROM cat c LEFT JOIN (SELECT feature, bin, count(*) AS n FROM lb WHERE split='train' GROUP BY 1,2) USING (feature, bin)",
     "psi": """SELECT month_idx, feature, round(sum((greatest(a,1e-4)-greatest(e,1e-4))*ln(greatest(a,1e-4)/greatest(e,1e-4))),6) AS psi FROM (
   SELECT t.month_idx, t.feature, ex.e, coalesce(c.n,0)/t.t AS a FROM (SELECT month_idx, feature, count(*) AS t FROM lb GROUP BY 1,2) t JOIN ex USING (feature)
   LEFT JOIN (SELECT month_idx, feature, bin, count(*) AS n FROM lb GROUP BY 1,2,3) c ON c.month_idx=t.month_idx AND c.feature=t.feature AND c.bin=ex.bin) GROUP BY 1,2""",
-    "mm0": "SELECT month_idx, count(*) AS n, round(avg(y),6) AS roll_rate, round(avg(p),6) AS mean_pred, round(avg(p)-avg(y),6) AS gap FROM sc GROUP BY 1",
+    "mm0": "SELECT month_idx, count(*) AS n, round(avg(y),6) AS roll_rate, round(avg(p),6) AS mean_pred, round(avg(p)-avg(y),6) AS gap, round(avg(p_raw)-avg(y),6) AS gap_raw FROM sc GROUP BY 1",
     "mb": "SELECT *, (SELECT count(*) FROM range(1,10) t(k) WHERE k*0.1::DOUBLE <= p) AS bin FROM sc",
     "ece": "SELECT month_idx, round(sum(g)/sum(n),6) AS ece FROM (SELECT month_idx, bin, count(*) AS n, abs(sum(p)-sum(y)) AS g FROM mb GROUP BY 1,2) GROUP BY 1",
     "auc": """SELECT month_idx, CAST(sum(c) AS BIGINT) AS n, CAST(sum(c1) AS BIGINT) AS n_pos, round(CASE WHEN sum(c1)*(sum(c)-sum(c1))<>0 THEN sum(c1*(2*below+c-c1))/(2*sum(c1)*(sum(c)-sum(c1))) END,6) AS auc FROM (
   SELECT *, coalesce(sum(c-c1) OVER (PARTITION BY month_idx ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS below FROM (SELECT month_idx, p, count(*) AS c, sum(y) AS c1 FROM sc GROUP BY 1,2)) GROUP BY 1""",
     "base": "SELECT round(avg(mean_pred)-2*stddev_samp(mean_pred),6) AS low, round(avg(mean_pred)+2*stddev_samp(mean_pred),6) AS high FROM mm0 WHERE month_idx<23988",
-    "ser": "SELECT n_nationkey, CAST(year(o_orderdate)*12+month(o_orderdate)-1 AS INT) AS month_idx, CAST(round(o_totalprice*100) AS BIGINT) AS cents FROM orders JOIN customer ON o_custkey=c_custkey JOIN nation ON c_nationkey=n_nationkey WHERE o_orderkey%7=0",
+    "ser": "SELECT n_nationkey, CAST(year(o_orderdate)*12+month(o_orderdate)-1 AS INT) AS month_idx, CAST(round(o_totalprice*100) AS BIGINT) AS cents FROM orders JOIN customer ON o_custkey=c_custkey JOIN nation ON c_nationkey=n_nationkey",
     "smean": "SELECT n_nationkey, month_idx, avg(cents) AS mean FROM ser GROUP BY 1,2",
     "spine": "SELECT n_nationkey, CAST(unnest(range(min(month_idx),max(month_idx)+3)) AS INT) AS month_idx FROM smean GROUP BY 1",
     "filled": "SELECT s.n_nationkey, s.month_idx, last_value(mean IGNORE NULLS) OVER (PARTITION BY s.n_nationkey ORDER BY s.month_idx ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS value FROM spine s LEFT JOIN smean USING (n_nationkey, month_idx)",
@@ -278,7 +287,7 @@ def current_state_ratios(spark, d):
 
 
 def _series(spark, d) -> DataFrame:
-    o = table(spark, d, "orders").where("o_orderkey % 7 = 0").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
     s = o.select("n_nationkey", S.month_index(F.col("o_orderdate")).cast("int").alias(MONTH), F.round(F.col("o_totalprice") * 100).cast("long").alias("value"))
     return panel.monthly(s, ["n_nationkey"])
 
@@ -354,21 +363,25 @@ def decile_table(spark, d):
     return metrics.deciles(later(spark, d), ["split"])
 
 
-@query("+SELECT dq_bucket, count(*) AS n, round(avg(y),6) AS base_rate FROM late GROUP BY 1")
+@query("+SELECT a.dq_bucket, a.n, base_rate, auc, average_precision FROM (SELECT dq_bucket, CAST(sum(c) AS BIGINT) AS n, round(sum(c1)/sum(c),6) AS base_rate, round(CASE WHEN sum(c1)*(sum(c)-sum(c1))<>0 THEN sum(c1*(2*below+c-c1))/(2*sum(c1)*(sum(c)-sum(c1))) END,6) AS auc FROM (SELECT *, coalesce(sum(c-c1) OVER (PARTITION BY dq_bucket ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS below FROM (SELECT dq_bucket, p, count(*) AS c, sum(y) AS c1 FROM late GROUP BY 1,2)) GROUP BY 1) a JOIN (SELECT dq_bucket, round(sum(c1*tp/n)/sum(c1),6) AS average_precision FROM (SELECT *, sum(c) OVER w AS n, sum(c1) OVER w AS tp FROM (SELECT dq_bucket, p, count(*) AS c, sum(y) AS c1 FROM late GROUP BY 1,2) WINDOW w AS (PARTITION BY dq_bucket ORDER BY p DESC ROWS UNBOUNDED PRECEDING)) GROUP BY 1) USING (dq_bucket)")
 def metrics_per_bucket(spark, d):
-    return later(spark, d).groupBy("dq_bucket").agg(F.count("*").alias("n"), F.round(F.avg("y"), 6).alias("base_rate"))
+    return metrics.per_group(later(spark, d), ["dq_bucket"])
 
 
 _SEEDS = (0, 1, 2)
 
 
 def _simulated(spark, d) -> DataFrame:
-    return ranking.simulate(later(spark, d).select(*_ID, "dq_bucket", "exposure", "p", "label"), CAPACITIES, seeds=_SEEDS)
+    return ranking.simulate(_ranked_on(spark, d), CAPACITIES, seeds=_SEEDS)
+
+
+def _ranked_on(spark, d) -> DataFrame:
+    return later(spark, d).select(*_ID, "dq_bucket", "exposure", "p", "p_raw", "label")
 
 
 @query("+SELECT month_idx, loan_sequence_number, policy, seed, rank FROM rank0")
 def policy_rank(spark, d):
-    return ranking.ranked(later(spark, d).select(*_ID, "dq_bucket", "exposure", "p"), seeds=_SEEDS)
+    return ranking.ranked(_ranked_on(spark, d).drop("label"), seeds=_SEEDS)
 
 
 @query("+SELECT * FROM points")
@@ -381,7 +394,7 @@ def policy_monthly_capture(spark, d):
     return ranking.monthly_capture(_simulated(spark, d), HEADLINE)
 
 
-@query("+SELECT m.policy, count(m.capture) AS months, round(avg(m.capture),8) AS mean, round(stddev_samp(m.capture),8) AS sd, min(m.capture) AS low, max(m.capture) AS high, CAST(sum(CASE WHEN m.capture>f.capture THEN 1 ELSE 0 END) AS BIGINT) AS above_floor FROM months m JOIN months f ON f.policy='random' AND f.month_idx=m.month_idx GROUP BY 1")
+@query("+SELECT m.policy, count(m.capture) AS months, round(avg(m.capture),8) AS mean, round(stddev_samp(m.capture),8) AS sd, min(m.capture) AS low, max(m.capture) AS high, CAST(sum(CASE WHEN m.capture>f.capture THEN 1 ELSE 0 END) AS BIGINT) AS above_by_dpd, CAST(sum(CASE WHEN m.capture>g.capture THEN 1 ELSE 0 END) AS BIGINT) AS above_by_balance FROM months m JOIN months f ON f.policy='by_dpd' AND f.month_idx=m.month_idx JOIN months g ON g.policy='by_balance' AND g.month_idx=m.month_idx GROUP BY 1")
 def policy_stability(spark, d):
     return ranking.stability(ranking.monthly_capture(_simulated(spark, d), HEADLINE))
 
@@ -420,7 +433,7 @@ def psi_by_month(spark, d):
     return _psi(spark, d)
 
 
-@query()
+@query("+SELECT t.feature, round(sum((greatest(coalesce(b.n,0)/t.n1,1e-4)-greatest(coalesce(a.n,0)/t.n0,1e-4))*ln(greatest(coalesce(b.n,0)/t.n1,1e-4)/greatest(coalesce(a.n,0)/t.n0,1e-4))),6) AS psi FROM (SELECT feature, sum(CASE WHEN half=0 THEN 1 ELSE 0 END) AS n0, sum(half) AS n1 FROM halves GROUP BY 1) t JOIN cat USING (feature) LEFT JOIN (SELECT feature, bin, count(*) AS n FROM halves WHERE half=0 GROUP BY 1,2) a ON a.feature=t.feature AND a.bin=cat.bin LEFT JOIN (SELECT feature, bin, count(*) AS n FROM halves WHERE half=1 GROUP BY 1,2) b ON b.feature=t.feature AND b.bin=cat.bin GROUP BY 1")
 def psi_split_half(spark, d):
     return drift.split_half(_population(spark, d).where("split = 'train'"), _ID, MONITORED)
 
@@ -490,16 +503,20 @@ def feature_importance(spark, d):
     return scoring.importance(scoring.boosted(train, _MODEL, trees=5, depth=3), _MODEL, spark)
 
 
-@query()
+@query("+SELECT 'max_bucket_last_6' AS feature, bin, round(ln(((n1+0.5)/sum(n1) OVER ())/((n0+0.5)/sum(n0) OVER ())),6) AS woe FROM (SELECT bin, sum(label) AS n1, sum(1-label) AS n0 FROM wbin GROUP BY 1)")
 def woe_bins(spark, d):
-    return scoring.woe_table(rows(spark, d).where("split = 'train'"), "max_bucket_last_6").drop("edges")
+    return scoring.woe_table(rows(spark, d).where("split = 'train'"), "max_bucket_last_6").drop("edges").withColumn("woe", F.round("woe", 6))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import catalog_sources  # noqa: F401  adds its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import catalog_sources  # noqa: F401  adds its queries
+
     return dict(_SQL)
 
 

@@ -90,3 +90,26 @@ def null_rates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     one = df.agg(F.count("*").alias("n"), *(F.count_if(F.col(c).isNull()).alias(c) for c in columns))
     long = one.unpivot("n", list(columns), "feature", "n_null")
     return long.select("feature", F.round(F.col("n_null") / F.col("n"), PLACES).alias("null_rate"))
+
+
+def feature_audit(train: DataFrame, test: DataFrame, whole: DataFrame, features: Sequence[str], y: str = "label", bins: int = 10, smooth: int = 100) -> DataFrame:
+    """(feature, null_rate, auc, auc_rank) of each feature alone: outcome rates of its training quantile bins (nulls are a
+    bin), shrunk to the overall rate, as the score of the test rows. All features share one pass over a long table."""
+    from . import drift
+
+    cuts = drift.edges(train, features, bins)
+    place = F.when(F.col("x").isNull(), drift.NULL_BIN).otherwise(F.size(F.filter("edges", lambda e: e <= F.col("x"))))
+    binned = lambda df: drift.long_form(df, [y], features).join(F.broadcast(cuts), "feature").select("feature", y, place.alias("bin"))  # noqa: E731  a row of edges a feature
+    seen = binned(train).groupBy("feature", "bin").agg(F.sum(F.col(y).cast("long")).alias("s"), F.count("*").alias("n"))
+    prior = seen.groupBy("feature").agg((F.sum("s") / F.sum("n")).alias("prior"))
+    rates = seen.join(prior, "feature").select("feature", "bin", F.round((F.col("s") + smooth * F.col("prior")) / (F.col("n") + smooth), PLACES).alias("rate"))
+    scored = binned(test).join(F.broadcast(rates), ["feature", "bin"], "left").join(F.broadcast(prior), "feature")
+    found = auc(scored.withColumn("p", F.coalesce("rate", F.round("prior", PLACES))), ["feature"], "p", y).select("feature", "auc")
+    out = null_rates(whole, list(features)).join(found, "feature")
+    return out.withColumn("auc_rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("auc"), "feature")))
+
+
+def per_group(df: DataFrame, by: Sequence[str], score: str = "p", y: str = "y") -> DataFrame:
+    """n, base rate, AUC and average precision of each group; AUC is null where a group has one class."""
+    base = df.groupBy(*by).agg(F.round(F.avg(F.col(y)), PLACES).alias("base_rate"))
+    return auc(df, by, score, y).join(average_precision(df, by, score, y), list(by)).join(base, list(by)).select(*by, "n", "base_rate", "auc", "average_precision")

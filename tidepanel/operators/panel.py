@@ -171,3 +171,20 @@ def join_one_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> D
         if duplicates(df, *keys).head(1):
             raise ValueError(f"{side} side has a key twice")
     return left.join(right, list(keys))
+
+
+def ever_delinquent(df: DataFrame) -> DataFrame:
+    """Loans that were ever behind, with their worst bucket."""
+    return df.groupBy(KEY).agg(F.max("dq_bucket").alias("max_bucket")).where("max_bucket > 0")
+
+
+def by_count(df: DataFrame, *by: str) -> DataFrame:
+    """Counts of the levels, the most frequent first; place is their order."""
+    n = df.groupBy(*by).agg(F.count("*").alias("n"))
+    return n.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), *by))).orderBy("place")
+
+
+def contained(df: DataFrame, whole: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Per group of `df`, its rows and those whose key `whole` doesn't have."""
+    marked = df.join(whole.select(*keys).distinct().withColumn("_there", F.lit(True)), list(keys), "left")
+    return marked.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("_there").isNull()).alias("n_missing"))

@@ -22,7 +22,9 @@ POLICIES = {
     "by_balance": "CAST(exposure AS DOUBLE)",
     "by_prob": "p",
     "by_expected_value": "p * exposure",
+    "by_expected_value_raw": "p_raw * exposure",
 }
+UNINFORMED = ("random", "oracle")
 
 
 def ranked(df: DataFrame, policies: Mapping[str, str] = POLICIES, seeds: Sequence[int] = (0,), key: str = KEY, period: str = PERIOD) -> DataFrame:
@@ -71,11 +73,12 @@ def monthly_capture(sim: DataFrame, capacity: float) -> DataFrame:
     return s.select(PERIOD, "policy", F.round(F.try_divide(F.col("c"), F.col("r")), PLACES).alias("capture"))
 
 
-def stability(months: DataFrame, floor: str = "random") -> DataFrame:
-    """Mean, spread and range of each policy's months, and in how many it is above the floor."""
-    f = months.where(F.col("policy") == floor).select(PERIOD, F.col("capture").alias("floor"))
-    j = months.join(f, PERIOD)
-    return j.groupBy("policy").agg(F.count("capture").alias("months"), F.round(F.avg("capture"), 8).alias("mean"), F.round(F.stddev_samp("capture"), 8).alias("sd"), F.min("capture").alias("low"), F.max("capture").alias("high"), F.count_if(F.col("capture") > F.col("floor")).alias("above_floor"))
+def stability(months: DataFrame, floors: Sequence[str] = ("by_dpd", "by_balance")) -> DataFrame:
+    """Mean, spread and range of each policy's months, and in how many it is above each floor."""
+    at = {f: F.max(F.when(F.col("policy") == f, F.col("capture"))).alias(f"floor_{f}") for f in floors}
+    j = months.join(months.groupBy(PERIOD).agg(*at.values()), PERIOD)
+    above = [F.count_if(F.col("capture") > F.col(f"floor_{f}")).alias(f"above_{f}") for f in floors]
+    return j.groupBy("policy").agg(F.count("capture").alias("months"), F.round(F.avg("capture"), 8).alias("mean"), F.round(F.stddev_samp("capture"), 8).alias("sd"), F.min("capture").alias("low"), F.max("capture").alias("high"), *above)
 
 
 def gap_closed(points: DataFrame, floor: str = "random") -> DataFrame:
@@ -106,3 +109,21 @@ def validity(points: DataFrame) -> DataFrame:
         F.bool_and((F.col("policy") != "random") | (F.abs(F.col("capture") - F.col("capacity")) < 0.25)).alias("random_near_capacity"),
     )
     return one.unpivot([], one.columns, "check", "passed")
+
+
+def structure_checks(points: DataFrame, share: DataFrame, capacity: float, tolerance: float) -> DataFrame:
+    """Six families of checks as rows (check, passed): random follows the capacity; nothing is above the oracle; informed
+    policies are below it short of full capacity, and not below random; curves never fall and end complete; ranking by
+    balance captures what the largest balances hold (`share`, one row) at `capacity`."""
+    ends = points.groupBy("capacity").agg(*(F.max(F.when(F.col("policy") == c, F.col("capture"))).alias(n) for c, n in (("oracle", "best"), ("random", "least"))))
+    p = points.withColumn("before", F.lag("capture").over(Window.partitionBy("policy").orderBy("capacity"))).join(ends, "capacity").join(F.broadcast(share))
+    c, informed, full = F.col("capture"), ~F.col("policy").isin(*UNINFORMED), F.col("capacity") >= 1
+    one = p.agg(
+        F.bool_and((F.col("policy") != "random") | (F.abs(c - F.col("capacity")) <= tolerance)).alias("random_near_capacity"),
+        F.bool_and(c <= F.col("best") + 1e-6).alias("never_over_oracle"),
+        F.bool_and(~informed | full | (c < F.col("best"))).alias("informed_below_oracle"),
+        F.bool_and(~informed | (c >= F.col("least") - tolerance)).alias("informed_over_random"),
+        F.bool_and((F.col("before").isNull() | (c >= F.col("before") - 1e-6)) & (~full | (F.abs(c - 1) < 1e-6))).alias("complete_and_never_falling"),
+        F.bool_and((F.col("policy") != "by_balance") | ~S.same_number(F.col("capacity"), F.lit(capacity)) | (F.abs(c - F.col("balance_share")) <= tolerance)).alias("balance_tracks_share"),
+    )
+    return one.unpivot([], one.columns, "check", "passed")
