@@ -11,6 +11,7 @@ from .functions import scalars as S
 from .operators import drift, metrics, panel, ranking, scoring
 from .operators.panel import KEY, MONTH
 from .plans.frames import audit
+from .sources.workspace import stored
 
 CAPACITIES = [0.05, 0.1, 0.2, 0.3, 0.5, 1.0]
 HEADLINE = 0.2
@@ -481,7 +482,7 @@ def drift_level_bins(spark, d):
 
 @query()
 def calibration_transfer(spark, d):
-    r = rows(spark, d).where("split <> 'drift_study'").select(MONTH, F.col("p").alias("raw"), "y")
+    r = stored(rows(spark, d).where("split <> 'drift_study'").select(MONTH, F.col("p").alias("raw"), "y"))
     return scoring.transfer_check(r, MONTH)[1]
 
 
@@ -490,17 +491,24 @@ _MODEL = ["dq_bucket", "bucket_lag_1", "months_delinquent_last_6", "max_bucket_l
 
 @query()
 def model_comparison(spark, d):
-    r = rows(spark, d).select("split", "y", "p", "label", *_MODEL)
-    train, test = r.where("split = 'train'"), r.where("split = 'test'")
-    pooled = scoring.scored(scoring.boosted(train, _MODEL, trees=5, depth=3), test, _MODEL)
-    long = pooled.select(F.lit("boosted_pooled").alias("model"), "y", F.col("raw").alias("p")).unionByName(test.select(F.lit("bucket_rate").alias("model"), "y", "p"))
-    return metrics.auc(long, ["model"]).join(metrics.average_precision(long, ["model"]), "model").join(metrics.brier(long, ["model"]), "model").join(metrics.calibration_error(long, ["model"]), "model")
+    """Bucket rate, WOE logistic, boosted trees over all rows and per bucket: raw and calibrated on the validation split."""
+    r = stored(rows(spark, d).select("split", "y", "p", "label", *_MODEL))
+    train, check, test = (r.where(F.col("split") == s) for s in ("train", "validation", "test"))
+    pooled = scoring.boosted(train, _MODEL, check=check)
+    own = scoring.segmented(train, _MODEL, "dq_bucket", [1, 2, 3])
+    models = {
+        "bucket_rate": lambda df: df.withColumn("raw", F.col("p")),
+        "woe_logistic": scoring.woe_logistic(train, _MODEL),
+        "boosted_pooled": lambda df: scoring.scored(pooled, df, _MODEL),
+        "boosted_segmented": lambda df: scoring.scored_by_segment(own, df, _MODEL, "dq_bucket"),
+    }
+    return scoring.compared(models, check, test)
 
 
 @query()
 def feature_importance(spark, d):
-    train = rows(spark, d).where("split = 'train'")
-    return scoring.importance(scoring.boosted(train, _MODEL, trees=5, depth=3), _MODEL, spark)
+    r = stored(rows(spark, d).select("split", "label", *_MODEL))
+    return scoring.importance(scoring.boosted(r.where("split = 'train'"), _MODEL, check=r.where("split = 'validation'")), _MODEL, spark)
 
 
 @query("+SELECT 'max_bucket_last_6' AS feature, bin, round(ln(((n1+0.5)/sum(n1) OVER ())/((n0+0.5)/sum(n0) OVER ())),6) AS woe FROM (SELECT bin, sum(label) AS n1, sum(1-label) AS n0 FROM wbin GROUP BY 1)")

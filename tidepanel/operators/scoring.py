@@ -7,7 +7,7 @@ import json
 import math
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -86,22 +86,29 @@ def transfer_check(df: DataFrame, period: str, hold: int = 12, score: str = "raw
     return min(better, key=lambda r: (r.ece, r.method)).method if better else "identity", table
 
 
-def boosted(train: DataFrame, features: Sequence[str], y: str = "label", trees: int = 20, depth: int = 4, seed: int = 7) -> PipelineModel:
-    """Boosted trees over median-imputed features and is-null indicators (Spark's trees take no missing values)."""
-    return _gbt(features, y, trees, depth, seed).fit(prepared(train, features))
+def boosted(train: DataFrame, features: Sequence[str], y: str = "label", trees: int = 20, depth: int = 4, seed: int = 7, check: DataFrame | None = None) -> PipelineModel:
+    """Boosted trees over median-imputed features and is-null indicators (Spark's trees take no missing values). With
+    rows to check on, boosting stops once their loss no longer falls; medians are those of the training rows alone."""
+    fill, put, gbt = _stages(features, y, trees, depth, seed)
+    rows = prepared(train, features)
+    filled = fill.fit(rows)
+    if check is not None:
+        both = rows.withColumn("checks", F.lit(False)).unionByName(prepared(check, features).withColumn("checks", F.lit(True)), allowMissingColumns=True)
+        rows, gbt = both, gbt.setValidationIndicatorCol("checks")
+    return PipelineModel([filled, put, gbt.fit(put.transform(filled.transform(rows)))])
 
 
 def prepared(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.withColumns({f"x_{f}": F.col(f).cast("double") for f in features} | {f"x_{f}_null": F.col(f).isNull().cast("double") for f in features})
 
 
-def _gbt(features, y, trees, depth, seed) -> Pipeline:
+def _stages(features, y, trees, depth, seed):
     filled = [f"x_{f}" for f in features]
-    return Pipeline(stages=[
+    return (
         Imputer(inputCols=filled, outputCols=[f"{c}_f" for c in filled], strategy="median"),
         VectorAssembler(inputCols=[f"{c}_f" for c in filled] + [f"{c}_null" for c in filled], outputCol="v"),
         GBTClassifier(featuresCol="v", labelCol=y, maxIter=trees, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed),
-    ])
+    )
 
 
 def scored(model: PipelineModel, df: DataFrame, features: Sequence[str], name: str = "raw") -> DataFrame:
@@ -133,6 +140,42 @@ def woe_table(train: DataFrame, feature: str, y: str = "label", bins: int = 20)
     return n.select(F.lit(feature).alias("feature"), "bin", "edges", F.ln(((F.col("n1") + 0.5) / F.sum("n1").over(total)) / ((F.col("n0") + 0.5) / F.sum("n0").over(total))).alias("woe"))
 
 
+def woe_logistic(train: DataFrame, features: Sequence[str], y: str = "label", bins: int = 20, c: float = 1.0) -> Callable[[DataFrame], DataFrame]:
+    """A ridge logistic model on the weights of evidence of each feature's bins; gives `raw`. A bin that training has
+    not seen weighs nothing. Only edges and weights (bins + 1 a feature) come to the driver."""
+    weights = {}
+    for f in features:
+        found = woe_table(train, f, y, bins).collect()
+        weights[f] = (list(found[0].edges or []) if found else [], {r.bin: float(r.woe) for r in found})
+
+    def weighed(df: DataFrame) -> DataFrame:
+        columns = {}
+        for f, (edges, woe) in weights.items():
+            place = F.when(F.col(f).isNull(), -1).otherwise(F.size(F.filter(F.array(*map(F.lit, edges)).cast("array<double>"), lambda e: e <= F.col(f))))
+            columns[f"woe_{f}"] = F.coalesce(S.lookup(place, woe), F.lit(0.0)) if woe else F.lit(0.0)
+        return VectorAssembler(inputCols=list(columns), outputCol="woe_v").transform(df.withColumns(columns)).drop(*columns)
+
+    rows = weighed(train).select("woe_v", F.col(y).cast("double").alias("woe_y"))
+    n = max(1, rows.count())
+    model = LogisticRegression(featuresCol="woe_v", labelCol="woe_y", regParam=1 / (c * n), standardization=False).fit(rows)
+    return lambda df: model.transform(weighed(df)).withColumn("raw", vector_to_array("probability")[1]).select(*df.columns, "raw")
+
+
+def compared(models: Mapping[str, Callable[[DataFrame], DataFrame]], fit: DataFrame, test: DataFrame, method: str = "platt", y: str = "y") -> DataFrame:
+    """(model, auc, average_precision, brier and ece raw and calibrated) of scorers that add `raw`; calibrated on `fit`."""
+    long = None
+    for name, score in models.items():
+        raw = score(test)
+        part = calibrator(method)(score(fit), "raw", y)(raw).select(F.lit(name).alias("model"), F.col(y).alias("y"), "raw", "p")
+        long = part if long is None else long.unionByName(part)
+    out = metrics.auc(long, ["model"], "raw").join(metrics.average_precision(long, ["model"], "raw"), "model")
+    for at in ("raw", "p"):
+        kind = "raw" if at == "raw" else "calibrated"
+        pair = metrics.brier(long, ["model"], at).join(metrics.calibration_error(long, ["model"], score=at), "model")
+        out = out.join(pair.withColumnsRenamed({"brier": f"brier_{kind}", "ece": f"ece_{kind}"}), "model")
+    return out
+
+
 def importance(model: PipelineModel, features: Sequence[str], spark: SparkSession) -> DataFrame:
     v = model.stages[-1].featureImportances.toArray().tolist()
     k = len(features)
