@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, map_batches, written
+from .common import batch, map_batches, without, written
 from .fmindex import FMIndex
 
 WINDOW, GRAM = 50, 8
@@ -203,7 +203,7 @@ def _trimmed(src: DataFrame, found: DataFrame, crowded: DataFrame, window: int)
     return found.join(crowded, "key", "left_anti").unionByName(one)
 
 
-def _kept(at: int, parts_at: int):
+def _kept(at: int, parts_at: int, prefix: str):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             counts, removed, kept = [], [], []
@@ -219,21 +219,24 @@ def _kept(at: int, parts_at: int):
             sha = [hashlib.sha256(k).hexdigest() for k in kept]
             rest = [c for k, c in enumerate(b.columns) if k != parts_at]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array([k.decode("utf-8", "surrogatepass") for k in kept], pa.string()), pa.array(sha, pa.string())]
-                , names=[*(n for k, n in enumerate(b.schema.names) if k != parts_at), "sd_n_words", "sd_n_removed", "sd_kept", "sd_sha256"])
+                , names=[*(n for k, n in enumerate(b.schema.names) if k != parts_at), *(prefix + c for c in ("n_words", "n_removed", "kept", "sha256"))])
 
     return work
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, **options) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, prefix: str = "sd_", **options) -> DataFrame:
     """`docs` with sd_n_words, sd_n_removed, sd_kept (the words left, joined by one space) and sd_sha256 of that.
 
     A word goes if a `window`-word window covers it whose words also start in a row with a smaller id. Windows are
     judged on the input. Rows that share an id don't remove each other's words. Null ids keep all words; null or empty
-    texts have none. Every row comes back once, with its other columns.
+    texts have none. Every row comes back once, with its other columns; columns that have the new ones' names, or begin
+    like them with row, mark or parts, are replaced.
     """
+    docs = without(docs, [prefix + c for c in ("n_words", "n_removed", "kept", "sha256", "row", "mark", "parts")])
     parts = repeats(docs, id_col, text_col, window, **options)
-    parts = parts.select(F.col("row").alias("sd_row"), F.col("mark").alias("sd_mark"), F.col("parts").alias("sd_parts"))
-    mine = (docs[id_col].cast("long") == parts.sd_row) & (F.xxhash64(docs[text_col]) == parts.sd_mark)
-    whole = docs.join(parts, mine, "left").drop("sd_row", "sd_mark")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", sd_n_words long, sd_n_removed long, sd_kept string, sd_sha256 string"
-    return map_batches(whole, [f"`{c}`" for c in whole.columns], fields, _kept(docs.columns.index(text_col), len(docs.columns)))
+    row, mark = f"{prefix}row", f"{prefix}mark"
+    parts = parts.select(F.col("row").alias(row), F.col("mark").alias(mark), F.col("parts").alias(f"{prefix}parts"))
+    mine = (docs[id_col].cast("long") == parts[row]) & (F.xxhash64(docs[text_col]) == parts[mark])
+    whole = docs.join(parts, mine, "left").drop(row, mark)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"`{prefix}{c}` {kind}" for c, kind in (("n_words", "long"), ("n_removed", "long"), ("kept", "string"), ("sha256", "string"))]
+    return map_batches(whole, [f"`{c}`" for c in whole.columns], ", ".join(fields), _kept(docs.columns.index(text_col), len(docs.columns), prefix))
