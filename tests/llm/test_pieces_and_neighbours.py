@@ -32,6 +32,16 @@ def test_n_best_are_the_best():
     lists = [every_segmentation(m, w) for w in m.words(text)]
     sums = sorted((a[0] + b[0] + c[0] for a in lists[0] for b in lists[1] for c in lists[2]), reverse=True)
     assert [round(s, 6) for s in m.encode(text)[1]] == [round(s, 6) for s in sums[:4]]
+    for text in ("the ing on", "a", "thing then the", "then then", ""):
+        whole = [(0.0, ())]
+        for w in m.words(text):
+            whole = [(s + t, a + b) for s, a in whole for t, b in every_segmentation(m, w)]
+        plain = {ids: s for s, ids in whole}
+        ids, scores, others = m.encode(text)
+        found = [tuple(ids), *map(tuple, others)]
+        assert len(set(found)) == len(found) == len(scores) == min(4, len(plain))
+        assert [round(plain[x], 6) for x in found] == [round(s, 6) for s in scores] == [round(s, 6) for s in sorted(plain.values(), reverse=True)[:4]]
+        assert all(m.decode(list(x)) == text for x in found)
 
 
 def test_pieces_round_trip(spark):

@@ -13,7 +13,7 @@ from .common import table
 
 def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pieces.encoded(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), n=3)
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.to_json("ids"), 256).alias("ids_sha256"), "scores", "restored")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.to_json("ids"), 256).alias("ids_sha256"), "scores", "restored", F.sha2(F.to_json("others"), 256).alias("others_sha256"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

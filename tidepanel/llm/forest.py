@@ -1,6 +1,6 @@
 """Approximate nearest neighbours: a hash-prefix forest per shard.
 
-Rows are dealt by hash to shards of a bounded size. A shard hashes its vectors to a 32-bit string per tree (signs of
+Rows are dealt by hash to shards of a bounded size (of smaller ones, if there would be fewer than cores). A shard hashes its vectors to a 32-bit string per tree (signs of
 random projections) and keeps each tree as a sorted array. A query descends each tree to its longest prefix match,
 then all trees ascend together, one bit at a time, until enough candidates are met; their inner products are exact.
 How many are enough is measured in each shard: a bounded sample of its own rows is searched by brute force, and the
@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from .common import batch, map_batches, written
 
-SHARD_ROWS, TREES, BITS = 60_000, 12, 32
+SHARD_ROWS, LEAST_ROWS, TREES, BITS = 60_000, 4_096, 12, 32
 #: Recall to reach on the sample, rows of the sample, and budgets (shares of a shard's rows, over all trees) to choose from.
 RECALL, SAMPLE = 0.97, 48
 BUDGETS = (0.01, 0.03, 0.1, 0.3, 0.6, 1.0, 2.0, 4.0)
@@ -72,9 +72,11 @@ class Forest:
             s = (self.x if len(at) > 0.5 * len(met) else self.x[at]) @ q[i]
             s = s[at] if len(s) != len(at) else s
             if len(at) > self.k:
+                # a product of many rows may end in other last bits for equal rows, so all that is near the last place stays
                 least = np.partition(s, len(s) - self.k)[len(s) - self.k]
-                keep = s >= least
-                at, s = at[keep], s[keep]
+                keep = s >= least - 1e-9 * (1 + abs(least))
+                at = at[keep]
+            s = (self.x[at] * q[i]).sum(axis=1)  # row by row, the same for equal rows in any shard
             best = np.lexsort((self.ids[at], -s))[: self.k]
             out.append((at[best], s[best]))
         return out
@@ -135,7 +137,8 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "
     """
     rows = vectors.where(F.col(id_col).isNotNull() & valid(F.col(vector_col)))
     rows = written(rows.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(F.col(vector_col).cast("array<double>")).alias("v")))
-    shards = max(1, -(-rows.count() // shard_rows))
+    n = rows.count()
+    shards = max(1, -(-n // shard_rows), min(vectors.sparkSession.sparkContext.defaultParallelism, n // LEAST_ROWS))
     rows = rows.withColumn("dim", F.size("v"))
     index = rows.select((F.pmod(F.xxhash64("id"), F.lit(shards)) + F.col("dim") * shards).alias("shard"), F.lit(0).alias("kind"), "id", "v")
     asked = rows.where(F.col("id") % every == 0).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"), "dim", "id", "v")

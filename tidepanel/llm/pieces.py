@@ -11,10 +11,9 @@ from __future__ import annotations
 import gc
 import heapq
 import re
-import zlib
 from bisect import insort
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
 from operator import itemgetter
 
 import ahocorasick
@@ -152,8 +151,9 @@ class Pieces:
             self.known[word] = got
         return got
 
-    def encode(self, text: str | None) -> tuple[list[int], list[float]]:
-        """Ids of the best segmentation, and the scores of the n best. Null and empty texts have one, empty, score 0."""
+    def encode(self, text: str | None) -> tuple[list[int], list[float], list[list[int]]]:
+        """Ids of the best segmentation, the scores of the n best, and the ids of the others of these, best first. Null
+        and empty texts have one, empty, score 0."""
         get, of = self.known.get, self._of
         words = self.words(text or "")
         lists = [get(w) or of(w) for w in words]
@@ -161,16 +161,26 @@ class Pieces:
         best = sum([x[1] for x in lists])
         # a text's n best change at most n - 1 words, and only those whose change costs least
         gaps = [x[2] for x in lists]
-        costs = [0.0]
+        options: list[tuple[float, tuple]] = [(0.0, ())]
         for _ in range(min(self.n - 1, len(gaps))):
             least = min(gaps)
             if least == float("inf"):
                 break
             k = gaps.index(least)
             gaps[k] = float("inf")
-            scores = [s for s, _ in self.best(words[k])]
-            costs = heapq.nsmallest(self.n, (c + scores[0] - s for c in costs for s in scores))
-        return ids, [best - c for c in costs]
+            (first, _), *rest = self.best(words[k])
+            more = [(c + first - s, (*changed, (k, own))) for c, changed in options for s, own in rest]
+            options = heapq.nsmallest(self.n, [*options, *more], key=itemgetter(0))
+        starts = [0, *accumulate(len(x[0]) for x in lists)] if len(options) > 1 else []
+        others = []
+        for _, changed in options[1:]:
+            own, at = [], 0
+            for k, new in sorted(changed):
+                own += ids[at : starts[k]]
+                own += new
+                at = starts[k + 1]
+            others.append(own + ids[at:])
+        return ids, [best - c for c, _ in options], others
 
     def decode(self, ids: list[int]) -> str:
         """The text: byte pieces joined and decoded, spaces back in place, the first one dropped."""
@@ -192,9 +202,10 @@ def model(path: str, n: int) -> Pieces:
 
 
 def encoded(docs: DataFrame, path: str, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids, scores, restored) of every row: best segmentation, scores of the n best, whether decoding gives the
-    text back (U+2581 in a text comes back as a space). Null texts are empty. Every row comes back once."""
-    schema = pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32())), ("scores", pa.list_(pa.float64())), ("restored", pa.bool_())])
+    """(id, ids, scores, restored, others) of every row: best segmentation, scores of the n best, whether decoding gives
+    the text back (U+2581 in a text comes back as a space), and the others of the n best segmentations, whole. Null texts
+    are empty. Every row comes back once."""
+    schema = pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32())), ("scores", pa.list_(pa.float64())), ("restored", pa.bool_()), ("others", pa.list_(pa.list_(pa.int32())))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path, n)
@@ -205,15 +216,11 @@ def encoded(docs: DataFrame, path: str, n: int = 3, id_col: str = "doc_id", text
                 gc.disable()
                 try:
                     for row, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                        ids, scores = m.encode(t)
-                        rows.append((row, np.array(ids, dtype=np.int32), scores, m.decode(ids) == (t or "")))
+                        ids, scores, others = m.encode(t)
+                        rows.append((row, np.array(ids, dtype=np.int32), scores, m.decode(ids) == (t or ""), [np.array(o, dtype=np.int32) for o in others]))
                 finally:
                     gc.enable()
-                yield batch(schema, *(zip(*rows, strict=True) if rows else [[]] * 4))
+                yield batch(schema, *(zip(*rows, strict=True) if rows else [[]] * 5))
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return map_batches(src, ["id", "text"], "id long, ids array<int>, scores array<double>, restored boolean", work).withColumnRenamed("id", id_col)
-
-
-def checksum(ids) -> int:
-    return zlib.crc32(np.asarray(ids, dtype="<u4").tobytes())
+    return map_batches(src, ["id", "text"], "id long, ids array<int>, scores array<double>, restored boolean, others array<array<int>>", work).withColumnRenamed("id", id_col)
