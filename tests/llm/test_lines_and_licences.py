@@ -57,8 +57,24 @@ def levenshtein(a, b):
     return row[-1]
 
 
-def plain_lines(docs):
-    """(id, text) -> the text without the lines that repeat an earlier one."""
+def edits(a, b):
+    """The edit distance, a row of the table at a time."""
+    x, y = (np.array(list(map(ord, t))) for t in (a, b))
+    steps = np.arange(len(y) + 1)
+    row = steps.copy()
+    for i, c in enumerate(x, 1):
+        new = np.minimum(row[1:] + 1, row[:-1] + (y != c))
+        row = np.minimum.accumulate(np.r_[i, new] - steps) + steps
+    return int(row[-1])
+
+
+def test_edits():
+    assert all(edits(a, b) == levenshtein(a, b) for a in ("", "kitten", "abcabc", "flaw") for b in ("x", "sitting", "bcabca", "lawn"))
+
+
+def plain_lines(docs, gate=3):
+    """(id, text) -> the text without the lines that repeat an earlier one. Links are lines of an edit similarity of 0.8
+    or more; with a gate, only those whose SimHashes are as near."""
     def signed(x):
         return x - (1 << 64) if x >> 63 else x
 
@@ -78,7 +94,8 @@ def plain_lines(docs):
         (a, b)
         for a in range(len(norms))
         for b in range(a)
-        if fps[a] is not None and fps[b] is not None and (fps[a] ^ fps[b]).bit_count() <= 3 and levenshtein(norms[a], norms[b]) <= int(0.2 * max(len(norms[a]), len(norms[b])) + 1e-9)
+        if fps[a] is not None and fps[b] is not None and (gate is None or (fps[a] ^ fps[b]).bit_count() <= gate)
+        and abs(len(norms[a]) - len(norms[b])) <= (most := int(0.2 * max(len(norms[a]), len(norms[b])) + 1e-9)) and edits(norms[a], norms[b]) <= most
     ]
     group = dict(zip(norms, brute.classes(list(range(len(norms))), linked)))
     first = {}
