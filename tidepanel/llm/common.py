@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches that go to Python workers hold about this many bytes, however long single texts are.
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 20 << 20
 #: Spark's setting that removes a query's shuffle files once it has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
