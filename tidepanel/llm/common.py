@@ -50,11 +50,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame) -> DataFrame:
-    """`df` written as Parquet below the shared folder and read again: cuts lineage, survives lost executors. Shuffle
-    files of the job are of no more use then, and go."""
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the shared one, for `written` tables that `removed` takes away together."""
+    return f"{shared_folder(spark).rstrip('/')}/tidepanel/{uuid.uuid4().hex}"
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Deletes a scratch folder. What was made from its tables must have been written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """`df` written as Parquet below the shared folder (or in a scratch folder) and read again: cuts lineage, survives
+    lost executors. Shuffle files of the job are of no more use then, and go."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/tidepanel/{uuid.uuid4().hex}"
+    path = f"{folder}/{uuid.uuid4().hex}" if folder else scratch(spark)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
@@ -76,16 +87,18 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, most_rounds: int = 60, folder: str | None = None) -> DataFrame:
     """(node, component) of every node of `edges` (columns a, b): the smallest node reachable.
 
     Alternates large-star and small-star steps on the edge table, so no node's neighbours are ever gathered in one
     task: each step is a minimum per key (pre-aggregated before its shuffle) and an equi-join that Spark can split.
-    Stops once a round changes nothing. Self-loops only name isolated nodes. Empty edges give an empty table.
+    Stops once a round changes nothing. Self-loops only name isolated nodes. Empty edges give an empty table. Rounds
+    are written in `folder`, a scratch folder, if one is given.
     """
     own = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
     now = written(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
+        folder,
     )
     state = None
     for _ in range(most_rounds):
@@ -98,7 +111,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        now = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), folder)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return own.join(now.withColumnRenamed("u", "node").withColumnRenamed("v", "component"), "node", "left").select(
