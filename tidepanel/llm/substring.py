@@ -29,7 +29,7 @@ from .fmindex import FMIndex
 
 WINDOW, GRAM = 50, 8
 #: Words in a shard's index, and distinct segments of one minimizer beyond which its windows are counted first.
-SHARD_WORDS, HOT_SEGMENTS = 600_000, 5_000
+SHARD_WORDS, HOT_SEGMENTS = 600_000, 500
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -173,19 +173,20 @@ def repeats(docs: DataFrame, row_col: str, text_col: str, window: int = WINDOW,
     shared = cut.groupBy("key").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo < hi").select("key")
     found = written(cut.join(shared, "key", "left_semi"))
     distinct = found.groupBy("key", "h1", "h2").agg(F.min("row").alias("first"))
-    crowded = distinct.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key")
-    crowded = written(crowded)
+    crowded = written(distinct.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key"))
     if crowded.head(1):
         found = written(_trimmed(src, found, crowded, window))
         distinct = found.groupBy("key", "h1", "h2").agg(F.min("row").alias("first"))
+    # a minimizer with one distinct segment has nothing to search: its windows are new in the first document
+    several = distinct.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     # one place of each distinct segment in its first document
-    place = found.join(distinct, ["key", "h1", "h2"]).where("row = first").groupBy("key", "h1", "h2", "row")
+    place = found.join(distinct.join(several, "key", "left_semi"), ["key", "h1", "h2"]).where("row = first").groupBy("key", "h1", "h2", "row")
     place = place.agg(F.min(F.struct("mark", "start", "end")).alias("at")).select("key", "h1", "h2", "row", "at.*")
     asked = place.groupBy("row", "mark").agg(F.collect_list(F.struct("key", "h1", "h2", "start", "end")).alias("asked"))
     texts = map_batches(src.join(asked, ["row", "mark"]), ["row", "mark", "text", "asked"], "key long, h1 long, h2 long, row long, start int, text string", _texts(window))
     texts = texts.dropDuplicates(["key", "h1", "h2"]).repartition(F.col("key")).sortWithinPartitions("key", "row", "start")
     parts = written(texts.select("key", "h1", "h2", "row", "text").mapInArrow(_shard(window, shard_words), "key long, h1 long, h2 long, parts array<int>"))
-    known = distinct.join(parts, ["key", "h1", "h2"])
+    known = distinct.join(parts, ["key", "h1", "h2"], "left")
     hits = found.join(known, ["key", "h1", "h2"]).select(
         "row", "mark",
         F.when(F.col("row") > F.col("first"), F.array(F.col("start"), F.col("end"))).otherwise(F.transform("parts", lambda x: x + F.col("start"))).alias("part"),
