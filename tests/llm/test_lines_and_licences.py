@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 
 from tidepanel.llm import licences, lines
@@ -159,3 +160,16 @@ def test_near_lines_far_apart_in_words_are_found(spark):
     assert len(linked) > 80 and first <= kept
     assert len(missed) <= 0.03 * len(linked)
     assert len({r.doc_id for r in lines.deduplicated(frame(spark, docs)).collect() if r.ld_text} - first) > 10 + len(missed)  # by SimHashes alone
+
+
+@pytest.mark.parametrize("hot", [None, 4])
+def test_lines_around_one_passage(spark, hot):
+    rng = np.random.default_rng(5)
+    vocab = [f"{a}{b}{k}" for k in range(30) for a in "bcdfgh" for b in "aeiou"]
+    passage = " ".join(rng.choice(vocab, 30))
+    docs = []
+    for k in range(40):
+        own = " ".join(rng.choice(vocab, 40))
+        docs += [(k, f"{own} {passage}"), (100 + k, f"{own[:-1]}x {passage}")]
+    out = lines.deduplicated(frame(spark, docs), bands=lines.BANDS, hot=hot)
+    assert {r.doc_id for r in out.collect() if r.ld_text} == set(range(40))
