@@ -107,6 +107,18 @@ def test_metrics_by_hand(spark):
     assert {r.b: r.auc for r in metrics.auc(two, ["b"]).collect()} == {1: 1.0, 2: None}
 
 
+def test_monthly_means_do_not_depend_on_the_order_of_rows(spark):
+    """Means that are halves at the last place: a sum of doubles falls on either side of them, by the order of its rows."""
+    p = [0.450001, 0.483721, 0.512077, 0.539031, 0.46723, 0.501123, 0.49907, 0.338711]
+    assert sum(round(x * 10**6) for x in p) % 8 == 4  # the eighth of it ends on a half
+    for rows in (3 * p, 3 * p[::-1], sorted(3 * p), sorted(3 * p)[::-1]):
+        df = spark.createDataFrame([(1, x, 0, 0.25) for x in rows], "month_idx int, p double, y int, p_raw double").coalesce(1)
+        r = drift.monthly(df, "month_idx").first()
+        assert (r.mean_pred, r.gap, r.gap_raw, r.roll_rate, r.ece) == (0.473871, 0.473871, 0.25, 0.0, 0.473871)
+    odd = spark.createDataFrame([(float("nan"),), (1e30,)], "p double")
+    assert str(odd.select(metrics.exact_mean("p")).first()[0]) == "nan" and odd.where("p < 1e31").select(metrics.exact_mean("p")).first()[0] == 1e30
+
+
 def test_departures(spark):
     v = [0.5, 2.0, 0.5, -5.0, -5.0, 2.0, 2.0, 2.0]
     s = spark.createDataFrame(list(zip("abcdefgh", v)), "period string, x double")

@@ -450,7 +450,7 @@ def drift_monthly_metrics(spark, d):
 
 
 def _mean_pred(spark, d) -> DataFrame:
-    return rows(spark, d).groupBy(MONTH).agg(F.round(F.avg("p"), 6).alias("mean_pred"))
+    return rows(spark, d).groupBy(MONTH).agg(metrics.exact_mean("p").alias("mean_pred"))
 
 
 @query("+SELECT * FROM base")

@@ -69,7 +69,7 @@ def split_half(reference: DataFrame, key: Sequence[str], features: Sequence[str]
 def monthly(df: DataFrame, period: str, score: str = "p", y: str = "y", raw: str = "p_raw") -> DataFrame:
     """n, roll rate, mean prediction, gaps of the score and of the raw one, calibration error and AUC (null for one
     class) of each month."""
-    base = df.groupBy(period).agg(F.count("*").alias("n"), F.round(F.avg(F.col(y)), PLACES).alias("roll_rate"), F.round(F.avg(score), PLACES).alias("mean_pred"), F.round((F.avg(score) - F.avg(F.col(y))), PLACES).alias("gap"), F.round(F.avg(raw) - F.avg(F.col(y)), PLACES).alias("gap_raw"))
+    base = df.groupBy(period).agg(F.count("*").alias("n"), metrics.exact_mean(y).alias("roll_rate"), metrics.exact_mean(score).alias("mean_pred"), metrics.exact_mean(score, y).alias("gap"), metrics.exact_mean(raw, y).alias("gap_raw"))
     return base.join(metrics.calibration_error(df, [period], score=score, y=y), period).join(metrics.auc(df, [period], score, y).select(period, "auc"), period)
 
 

@@ -15,6 +15,26 @@ def _by(by: Sequence[str]) -> list[Column]:
     return [F.col(c) for c in by] or [F.lit(0)]
 
 
+def _decimal(c: str | Column) -> Column:
+    return F.col(c).try_cast("decimal(38,18)") if isinstance(c, str) else c.try_cast("decimal(38,18)")
+
+
+def _exactly(agg, c: str | Column, less: str | Column | None = None) -> Column:
+    """F.avg or F.sum of `c` (less that of `less`) over decimals of 18 places, so that it doesn't depend on the order of
+    rows; over doubles, if such a decimal doesn't hold a value."""
+    terms = [x for x in (c, less) if x is not None]
+    held = [F.count(_decimal(x)) == F.count(x) for x in terms]
+    made = [[agg(x).cast("double") for x in some] for some in ([_decimal(x) for x in terms], terms)]
+    whole, plain = (m[0] if less is None else m[0] - m[1] for m in made)
+    return F.when(held[0] if less is None else held[0] & held[1], whole).otherwise(plain)
+
+
+def exact_mean(c: str | Column, less: str | Column | None = None) -> Column:
+    """The mean of `c` (less that of `less`) to PLACES, halves away from zero: neither the order of rows nor a sum's error
+    decides a half, since what is left of that is rounded away before."""
+    return F.round(F.round(_exactly(F.avg, c, less), 2 * PLACES), PLACES)
+
+
 def auc(df: DataFrame, by: Sequence[str], score: str = "p", y: str = "y") -> DataFrame:
     """n, positives and ROC AUC per group with ties counted half; null where a group has one class.
 
@@ -56,8 +76,8 @@ def reliability(df: DataFrame, by: Sequence[str] = (), bins: int = 10, score: st
 
 
 def calibration_error(df: DataFrame, by: Sequence[str] = (), bins: int = 10, score: str = "p", y: str = "y") -> DataFrame:
-    b = df.groupBy(*by, bin_of(F.col(score), bins).alias("bin")).agg(F.count("*").alias("n"), F.abs(F.sum(score) - F.sum(F.col(y))).alias("gap"))
-    return b.groupBy(*by).agg(F.round(F.sum("gap") / F.sum("n"), PLACES).alias("ece"))
+    b = df.groupBy(*by, bin_of(F.col(score), bins).alias("bin")).agg(F.count("*").alias("n"), F.abs(_exactly(F.sum, score, y)).alias("gap"))
+    return b.groupBy(*by).agg(F.round(F.round(F.sum("gap") / F.sum("n"), 2 * PLACES), PLACES).alias("ece"))
 
 
 def deciles(df: DataFrame, by: Sequence[str] = (), score: str = "p", y: str = "y", key: Sequence[str] = ("loan_sequence_number", "month_idx"), bins: int = 10) -> DataFrame:
