@@ -173,3 +173,32 @@ def test_lines_around_one_passage(spark, hot):
         docs += [(k, f"{own} {passage}"), (100 + k, f"{own[:-1]}x {passage}")]
     out = lines.deduplicated(frame(spark, docs), bands=lines.BANDS, hot=hot)
     assert {r.doc_id for r in out.collect() if r.ld_text} == set(range(40))
+
+
+def test_tables_of_round_two_hold_what_can_link(spark, monkeypatch):
+    """Lines that share a phrase meet in a block or two, of which three have to agree: they don't reach the second round's
+    table. The cut lines with their texts are gone by the time that lines are compared."""
+    rng = np.random.default_rng(8)
+    vocab = [f"{a}{b}{k}" for k in range(30) for a in "bcdfgh" for b in "aeiou"]
+    phrase = " ".join(rng.choice(vocab, 4))
+    docs = []
+    for k in range(80):
+        own = " ".join(rng.choice(vocab, 30))
+        docs += [(k, f"{own} {phrase}"), (100 + k, f"{own[:-1]}x {phrase}")] if k % 8 == 0 else [(k, f"{own} {phrase}")]
+    made, gone = [], []
+    write, remove = lines.written, lines.removed
+
+    def written(df, folder=None):
+        out = write(df, folder)
+        made.append((set(df.columns), folder, len(gone), out.count()))
+        return out
+
+    monkeypatch.setattr(lines, "written", written)
+    monkeypatch.setattr(lines, "removed", lambda s, folder: (gone.append(folder), remove(s, folder)))
+    out = lines.deduplicated(frame(spark, docs), bands=lines.BANDS)
+    assert {r.doc_id for r in out.collect() if r.ld_text} == set(range(80))
+    met = sum(n for c, _, _, n in made if c == {"block", "key", "b"})
+    left = [n for c, _, _, n in made if "main" in c]
+    assert met > 100 and left and left[0] < 0.2 * met
+    (cut,) = {folder for c, folder, _, _ in made if {"id", "norm"} <= c}
+    assert gone[0] == cut and all(done for c, _, done, _ in made if "least" in c)
