@@ -29,7 +29,9 @@ from .fmindex import FMIndex
 
 WINDOW, GRAM = 50, 8
 #: Words in a shard's index, and distinct segments of one minimizer beyond which its windows are counted first.
-SHARD_WORDS, HOT_SEGMENTS = 600_000, 500
+SHARD_WORDS, HOT_SEGMENTS = 300_000, 500
+#: What Python holds at once of what it returns, in bytes of text or rows, and rows of a batch that are read at once.
+BATCH_OUT, ROWS_OUT, ROWS_IN = 4 << 20, 50_000, 1000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -95,12 +97,16 @@ def _texts(window: int):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
+            rows, size = [], 0
             for row, text, asked in zip(*(b.column(k) for k in (0, 2, 3)), strict=True):
                 row, (line, at) = row.as_py(), _spans(text.as_py().encode("utf-8", "surrogatepass").split())
                 for s in asked.as_py():
                     raw = line[at[s["start"]] : at[s["end"]] - 1]
                     rows.append((s["key"], s["h1"], s["h2"], row, s["start"], raw.decode("utf-8", "surrogatepass")))
+                    size += len(raw)
+                    if size >= BATCH_OUT:
+                        yield batch(schema, *zip(*rows, strict=True))
+                        rows, size = [], 0
             yield batch(schema, *(zip(*rows, strict=True) if rows else [[]] * len(schema)))
 
     return work
@@ -118,6 +124,9 @@ def _windows(window: int):
                 for s in asked.as_py():
                     for i in range(s["start"], s["end"] - window + 1):
                         rows.append((s["key"], *_halves(line[at[i] : at[i + window] - 1]), row, mark, i))
+                    if len(rows) >= ROWS_OUT:
+                        yield batch(schema, *zip(*rows, strict=True))
+                        rows = []
             yield batch(schema, *(zip(*rows, strict=True) if rows else [[]] * len(schema)))
 
     return work
@@ -132,6 +141,12 @@ def covered(lengths: np.ndarray, window: int) -> list[tuple[int, int]]:
     return list(zip(at[cut].tolist(), (at[np.r_[cut[1:], len(at)] - 1] + window).tolist(), strict=True))
 
 
+def _rows(b: pa.RecordBatch) -> Iterator[tuple]:
+    """The rows of a batch, of which few are Python objects at once."""
+    for k in range(0, b.num_rows, ROWS_IN):
+        yield from zip(*(c.to_pylist() for c in b.slice(k, ROWS_IN).columns), strict=True)
+
+
 def _shard(window: int, most_words: int):
     schema = pa.schema([("key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("parts", pa.list_(pa.int32()))])
 
@@ -149,7 +164,7 @@ def _shard(window: int, most_words: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         for b in batches:
-            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for r in _rows(b):
                 if size >= most_words and r[0] != rows[-1][0]:
                     yield search(rows)
                     rows, size = [], 0
