@@ -180,6 +180,26 @@ def test_scores_stay_with_their_documents(spark):
         assert Counter((r.doc_id, r.n_tokens) for r in got) == Counter((i, len((t or "").split()) + 1) for i, t in docs)
 
 
+def test_workers_of_the_network_get_small_batches(spark, monkeypatch):
+    """Two workers beside a heap of 1,800 MB have to stay under 3,000 MB: what they hold follows the batch."""
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.col("id").cast("string"), F.repeat(F.lit(" some words here"), 125)).alias("text")).coalesce(1)
+
+    def sized(work, name):
+        def inner(batches):
+            def seen():
+                for b in batches:
+                    assert b.nbytes < 14 << 20, f"{name}: {b.nbytes}"
+                    yield b
+            yield from work(seen())
+        return inner
+
+    for name in ("_trained", "_scored"):
+        monkeypatch.setattr(neural, name, lambda *a, f=getattr(neural, name), n=name: sized(f(*a), n))
+    monkeypatch.setattr(neural, "_counted", sized(neural._counted, "_counted"))
+    out = neural.scored(docs, sample=10)
+    assert out.count() == 20_000 and out.where("n_tokens <> 377").count() == 0
+
+
 def page(title, paragraphs, extra="", ad="buy now"):
     body = "".join(f"<p>{p}</p>" for p in paragraphs)
     return f'<!DOCTYPE html><html><head><title>{title}</title><style>p{{}}</style></head><body><nav><ul><li><a href="/">Home {title}</a></li><li>x</li></ul></nav><div class="ad">{ad}</div><article><h1>{title}</h1>{body}{extra}</article><footer>&copy; me</footer></body></html>'

@@ -33,6 +33,8 @@ STATE, WINDOW, STREAMS, EPOCHS = 24, 32, 32, 3
 MOST_STREAMS, STEPS = 256, 1 << 20
 #: Distinct words that a task counts before it hands them on, and states that wait for their outputs.
 MOST_HELD, MOST_STATES = 200_000, 16_384
+#: Bytes of the Arrow batches that are counted or scored, and trained on: beside a batch a worker holds some ten times that.
+SCORE_BYTES, TRAIN_BYTES = 6 << 20, 12 << 20
 END = ""
 
 
@@ -279,7 +281,7 @@ def _trained(network: Network):
 
 def fit_all(network: Network, texts: DataFrame) -> None:
     """Trains `network` on every row of `texts` (one column): one pass in each partition, then the average."""
-    got = map_batches(texts, texts.columns, "at long, value long, n long", _trained(network))
+    got = map_batches(texts, texts.columns, "at long, value long, n long", _trained(network), TRAIN_BYTES)
     # whole numbers, so that the order of the sums is no matter; as many rows as parameters come to the driver
     rows = got.groupBy("at").agg(F.sum(F.col("value").cast("decimal(38,0)")).alias("value"), F.sum("n").alias("n")).collect()
     if rows:
@@ -350,7 +352,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head
     """
     src = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held"), F.col(text_col).alias("text"))
     train = src.where(~F.col("held"))
-    counts = map_batches(train, ["text"], "token string, c long", _counted).groupBy("token").agg(F.sum("c").alias("c"))
+    counts = map_batches(train, ["text"], "token string, c long", _counted, SCORE_BYTES).groupBy("token").agg(F.sum("c").alias("c"))
     counts = written(counts)
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = _head(counts, head)
@@ -373,7 +375,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head
     kind = src.schema["id"].dataType.simpleString()
     # what a row is, and its number, come out of the same task: no other pass has to deal the rows the same way
     columns = f"rid long, id {kind}, held boolean, n_tokens long, n_head long, head_log double, log_p double, n_rest long, tail array<string>, rest_log double"
-    got = written(map_batches(src, ["id", "held", "text"], columns, _scored(network, logs, to_arrow_type(src.schema["id"].dataType))))
+    got = written(map_batches(src, ["id", "held", "text"], columns, _scored(network, logs, to_arrow_type(src.schema["id"].dataType)), SCORE_BYTES))
     tail = got.select("rid", F.explode("tail").alias("token")).groupBy("rid", "token").agg(F.count("*").alias("n"))
     tail = tail.join(counts, "token", "left").groupBy("rid").agg(
         F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("tail_log"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_tail")
