@@ -202,3 +202,37 @@ def test_tables_of_round_two_hold_what_can_link(spark, monkeypatch):
     assert met > 100 and left and left[0] < 0.2 * met
     (cut,) = {folder for c, folder, _, _ in made if {"id", "norm"} <= c}
     assert gone[0] == cut and all(done for c, _, done, _ in made if "least" in c)
+
+
+def test_common_short_words_bring_no_lines_together(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    docs = []
+    for k in range(100):
+        own = " ".join("".join(rng.choice(letters, 8)) for _ in range(5))
+        docs += [(k, f"{own} of to a and"), (100 + k, f"{own[:-1]}0 of to a and")] if k % 10 == 0 else [(k, f"{own} of to a and")]
+    asked, verified = [], lines._verified
+    monkeypatch.setattr(lines, "_verified", lambda pairs, *a: (asked.append(pairs.count()), verified(pairs, *a))[1])
+    out = lines.deduplicated(frame(spark, docs), bands=lines.BANDS)
+    assert {r.doc_id for r in out.collect() if r.ld_text} == set(range(100))
+    assert sum(asked) < 100
+
+
+def test_pairs_of_round_two_are_met_twice_at_most(spark):
+    lanes = [[1, 2, 3, 4, 5, 6, 7, 8], [9, 2, 3, -1, 5, 6, 0, 8]]
+    rows = [tuple(sum((x & 0xFFFF) << 16 * n for n, x in enumerate(own[k : k + 4])) - (1 << 64 if own[k + 3] & 0x8000 else 0) for own in lanes for k in (0, 4))]
+    df = spark.createDataFrame(rows, "p0_a long, p1_a long, p0_b long, p1_b long")
+    got = df.select(lines._agreeing("_a", "_b", 8), *(lines._agreeing("_a", "_b", 8, lines.F.lit(k)) for k in range(9))).first()
+    assert list(got) == [5, 0, 0, 1, 2, 2, 3, 4, 4, 5]
+
+
+def test_runs_leave_out_empty_parts(spark):
+    """Lines of the same parts, four letters being a part of three and one of one, and lines too short for a run."""
+    texts = ["ab cde fg h ij", "a b", "abcd efgh ijkl", "of to"]
+    once = spark.createDataFrame([(k, len(t), t, len(t.split())) for k, t in enumerate(texts)], "key long, size int, norm string, n int").where("n >= 3")
+    got = {r.key: r for r in lines.fingerprints(once, 4).collect()}
+    assert set(got) == {0, 2} and all(len(r.least) == 4 for r in got.values())
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    part = lambda t: signed(xxhash.xxh64(t.encode(), seed=42).intdigest())
+    one = spark.createDataFrame([tuple(part(t) for t in ("ab", "cde", "fg", "h", "ij"))], "a long, b long, c long, d long, e long").select(lines.F.xxhash64("a", "b", "c", "d", "e")).first()[0]
+    assert got[0].fp == one  # the only run
