@@ -236,3 +236,20 @@ def test_runs_leave_out_empty_parts(spark):
     part = lambda t: signed(xxhash.xxh64(t.encode(), seed=42).intdigest())
     one = spark.createDataFrame([tuple(part(t) for t in ("ab", "cde", "fg", "h", "ij"))], "a long, b long, c long, d long, e long").select(lines.F.xxhash64("a", "b", "c", "d", "e")).first()[0]
     assert got[0].fp == one  # the only run
+
+
+def test_what_many_lines_share_alone_brings_no_two_together(spark, monkeypatch):
+    """A crowd of unlike lines around one passage, with near copies among them, and lines that are near by the passage."""
+    rng = np.random.default_rng(6)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    say = lambda n: " ".join("".join(rng.choice(letters, 6)) for _ in range(n))
+    passage, docs = say(40), []
+    for k in range(150):
+        own = say(40)
+        docs += [(k, f"{own} {passage}"), (1000 + k, f"{own[:-1]}0 {passage}")] if k % 5 == 0 else [(k, f"{own} {passage}")]
+    docs += [(500 + k, f"{passage} {say(6)}") for k in range(8)]
+    asked, verified = [], lines._verified
+    monkeypatch.setattr(lines, "_verified", lambda pairs, *a: (asked.append(pairs.count()), verified(pairs, *a))[1])
+    out = lines.deduplicated(frame(spark, docs), bands=lines.BANDS)
+    assert {r.doc_id for r in out.collect() if r.ld_text} == {*range(150), 500}
+    assert asked[1] < 1500  # of 11,000 pairs
